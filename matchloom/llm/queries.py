@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import mixing, sharding
+from matchloom.llm import line_dedup, mixing, packing, sharding, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +53,65 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_documents(spark, sf_dir), sharding.topology(8), sharding.topology(9))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op5_shard": op5_shard}
-ORACLES: dict[str, str] = {"op1_mix": OP1_SQL}
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"))
+    digest = F.sha2(F.encode(F.coalesce("kept", F.lit("")), "UTF-8"), 256)
+    return kept.select("doc_id", "n_lines", "n_dropped", digest.alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH lines AS (
+  SELECT rowid AS r, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+  FROM (SELECT row_number() OVER () AS rowid, text FROM documents)),
+keyed AS (
+  SELECT r, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+often AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10),
+marked AS (SELECT k.*, o.key IS NOT NULL AS gone FROM keyed k LEFT JOIN often o ON k.key = o.key),
+per AS (
+  SELECT r, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+  FROM marked GROUP BY r)
+SELECT d.doc_id, n_lines, n_dropped, kept_sha256
+FROM per JOIN (SELECT row_number() OVER () AS rowid, doc_id FROM documents) d ON d.rowid = per.r
+"""
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the public tokenizer's file is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir), tokenizer_path())
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+OP10_SQL = r"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT payload_digest, max(page_id) AS keeper FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+  CASE WHEN keeper IS NOT NULL AND p.page_id IS DISTINCT FROM keeper THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN keeper IS NOT NULL AND p.page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to
+FROM p LEFT JOIN g USING (payload_digest)
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix": op1_mix,
+    "op5_shard": op5_shard,
+    "op7_line_dedup": op7_line_dedup,
+    "op9_pack": op9_pack,
+    "op10_warc": op10_warc,
+}
+ORACLES: dict[str, str] = {"op1_mix": OP1_SQL, "op7_line_dedup": OP7_SQL, "op10_warc": OP10_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
