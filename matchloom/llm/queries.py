@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import line_dedup, mixing, packing, sharding, warc
+from matchloom.llm import langid, line_dedup, media, mixing, packing, quality, sharding, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,10 +49,25 @@ FROM shared
 """
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.stored_features(_documents(spark, sf_dir))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_documents(spark, sf_dir), sharding.topology(8), sharding.topology(9))
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held_out = langid.is_held_out(F.col("doc_id"))
+    model = langid.train(docs.where(~held_out))
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"))
     digest = F.sha2(F.encode(F.coalesce("kept", F.lit("")), "UTF-8"), 256)
@@ -106,7 +121,10 @@ FROM p LEFT JOIN g USING (payload_digest)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
+    "op3_media": op3_media,
+    "op4_quality": op4_quality,
     "op5_shard": op5_shard,
+    "op6_langid": op6_langid,
     "op7_line_dedup": op7_line_dedup,
     "op9_pack": op9_pack,
     "op10_warc": op10_warc,

@@ -119,31 +119,46 @@ def _piece(b: np.ndarray, lo: int, firsts: np.ndarray, lower: bool) -> tuple[np.
     return starts + lo, ends + lo, hashes
 
 
-def ngrams(w: Words, n: int, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hash) of all runs of n words within a text, in order. short: a text with fewer words, but at least one, has one run of all of them."""
+def ngrams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the first word, text, hash) of all runs of n words within a text, in order."""
     count = len(w.hashes) - n + 1
-    if count > 0:
-        g = np.full(count, U(n))
-        with np.errstate(over="ignore"):
-            for j in range(n):
-                g = mix64(g * U(0x2545F4914F6CDD1D) ^ w.hashes[j : j + count])
-        keep = w.text[:count] == w.text[n - 1 :]
-        text, g = w.text[:count][keep], g[keep]
-    else:
-        text, g = np.zeros(0, np.int64), np.zeros(0, U)
-    if not short or not len(w.hashes):
-        return text, g
-    ids, first, sizes = np.unique(w.text, return_index=True, return_counts=True)
-    few = np.flatnonzero(sizes < n)
-    if not len(few):
-        return text, g
-    more = np.empty(len(few), U)
+    if count <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
+    g = np.full(count, U(n))
     with np.errstate(over="ignore"):
-        for i, k in enumerate(few):
-            h = U(sizes[k])
-            for x in w.hashes[first[k] : first[k] + sizes[k]]:
-                h = mix64(np.array([h * U(0x2545F4914F6CDD1D) ^ x], dtype=U))[0]
-            more[i] = h
-    text, g = np.concatenate([text, ids[few]]), np.concatenate([g, more])
+        for j in range(n):
+            g = mix64(g * U(0x2545F4914F6CDD1D) ^ w.hashes[j : j + count])
+    first = np.flatnonzero(w.text[:count] == w.text[n - 1 :])
+    return first, w.text[first], g[first]
+
+
+def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of all runs of n words, in order of the texts; a text with fewer words, but at least one, has one run of them all."""
+    _, text, g = ngrams(w, n)
+    for m in range(1, n):
+        first, whole, h = ngrams(w, m)
+        few = np.flatnonzero(np.bincount(w.text, minlength=1)[whole] == m) if len(whole) else first
+        text, g = np.concatenate([text, whole[few]]), np.concatenate([g, h[few]])
     order = np.argsort(text, kind="stable")
     return text[order], g[order]
+
+
+def per_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of values over the bytes of each text."""
+    out = np.zeros(len(offsets) - 1, np.int64)
+    full = offsets[:-1] < offsets[1:]
+    if full.any():
+        out[full] = np.add.reduceat(values, offsets[:-1][full], dtype=np.int64)
+    return out
+
+
+def slices(column: pa.Array, limit: int = 2 * PIECE) -> list[tuple[int, int]]:
+    """Row ranges of about `limit` bytes of text each; one row at least."""
+    sizes = np.diff(as_bytes(column).offsets)
+    out, lo, held = [], 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if held and held + n > limit:
+            out.append((lo, i))
+            lo, held = i, 0
+        held += n
+    return [*out, (lo, len(sizes))] if lo < len(sizes) else out
