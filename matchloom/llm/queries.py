@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import langid, line_dedup, media, mixing, packing, quality, sharding, warc
+from matchloom.llm import langid, line_dedup, lm_score, media, mixing, near_dup, packing, quality, sharding, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +49,10 @@ FROM shared
 """
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_documents(spark, sf_dir))
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_features(_documents(spark, sf_dir))
 
@@ -93,6 +97,10 @@ FROM per JOIN (SELECT row_number() OVER () AS rowid, doc_id FROM documents) d ON
 """
 
 
+def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.link(_documents(spark, sf_dir))
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """Where the public tokenizer's file is."""
     import public_tokenizers
@@ -121,11 +129,13 @@ FROM p LEFT JOIN g USING (payload_digest)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
+    "op2_lm_score": op2_lm_score,
     "op3_media": op3_media,
     "op4_quality": op4_quality,
     "op5_shard": op5_shard,
     "op6_langid": op6_langid,
     "op7_line_dedup": op7_line_dedup,
+    "op8_near_dup": op8_near_dup,
     "op9_pack": op9_pack,
     "op10_warc": op10_warc,
 }
