@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from matchloom.llm.store import cut
+from matchloom.llm.store import cut, written
 
 #: Buckets of a source's hash order; one is the most that a task must order by itself.
 BUCKETS = 4096
@@ -95,8 +95,8 @@ def source_targets(sizes: DataFrame, max_passes: int = MAX_PASSES) -> DataFrame:
     return per.select("source", "rank", "weight", "source_size", "target", F.round("target").cast("long").alias("target_words"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", whole: bool = False, max_passes: int = MAX_PASSES) -> DataFrame:
-    """One row a document: (id, source, size, source_size, target, taken, passes).
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", whole: bool = False, max_passes: int = MAX_PASSES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row a document: (id, source, size, source_size, target, taken, passes), and the columns to carry along.
 
     passes: array of (words, position), one for each time that the document is taken, in order of the passes.
     A source's documents are in md5 order of their ids. With whole=False the last document taken may be cut, so a
@@ -107,7 +107,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     others. Documents without words take part with size 0. Repeated rows and ids are documents of their own; ties
     of the md5 order go by size, which leaves only interchangeable rows. An empty table gives no rows.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *carry)
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     bucket = F.conv(F.substring(order, 1, 3), 16, 10).cast("int")  # 4096 buckets, in md5 order
     # Narrow: ids, names and counts. Every later step reads this and not the texts.
@@ -123,7 +123,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         placed.alias("d")
         .join(s, F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.bucket") == F.col("s.bucket")))
         .join(t, F.col("d.source").eqNullSafe(F.col("t.source")))
-        .select("d.doc_id", "d.source", "d.size", "t.source_size", "t.target", "t.target_words", (F.col("t.rank") % len(SHAPES)).alias("shape"), (F.col("s.bucket_start") + F.col("d.before")).alias("first"))
+        .select("d.doc_id", "d.source", "d.size", "t.source_size", "t.target", "t.target_words", (F.col("t.rank") % len(SHAPES)).alias("shape"), (F.col("s.bucket_start") + F.col("d.before")).alias("first"), *[F.col(f"d.{c}") for c in carry])
     )
 
     def one(p: Column) -> Column:
@@ -138,10 +138,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     passes = F.filter(F.transform(F.sequence(F.lit(0), F.lit(max_passes - 1)), one), lambda x: x["words"] > 0)
     out = joined.withColumn("passes", passes)
     taken = F.aggregate("passes", F.lit(0).cast("long"), lambda a, x: a + x["words"])
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "passes")
+    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "passes", *carry)
 
 
 def in_training_order(mixed: DataFrame) -> DataFrame:
     """Rows of mix() range-sorted by the position of their first pass; those never taken come last."""
     first = F.get("passes", F.lit(0))["position"]
     return mixed.withColumn("first_position", first).sort(F.col("first_position").asc_nulls_last(), "doc_id")
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The documents as the mix takes them: each as often as it is taken, whole, range-sorted by training position. Columns stay as they are; documents that the mix does not take go."""
+    # Rows may repeat, ids too: each gets a number of its own, which is written down with it.
+    columns = docs.columns
+    rows = written(docs.toDF(*[f"x{i}" for i in range(len(columns))]).withColumn("row", F.monotonically_increasing_id()), "rows")
+    name = lambda c: f"x{columns.index(c)}"
+    passes = mix(rows, name(id_col), name(text_col), name(source_col), whole=True, carry=("row",)).where(F.size("passes") > 0).select("row", F.explode("passes.position").alias("position"))
+    return rows.join(passes, "row").sort("position", "row").drop("row", "position").toDF(*columns)

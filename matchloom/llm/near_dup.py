@@ -261,15 +261,8 @@ def components(edges: DataFrame) -> DataFrame:
             return nodes
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id), one row a document.
-
-    Words are runs of bytes outside ASCII white space, with A-Z lower-cased. A set has the distinct shingles of WIDTH words;
-    with fewer words, the whole sequence as one; a null text, or one without words, has an empty set, is linked
-    with nothing, and is a component of its own id. Documents with equal sets are linked. component_id is the
-    least id of the component; null ids are least only where there is no other. Repeated rows get a row each, whatever their
-    ids. Very long texts are compared whole. An empty table gives no rows.
-    """
+def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, n_shingles, k1, k2, component_id): link() with the keys of the sets."""
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("body"))
     signed = written(plain.mapInArrow(_sign, "doc_id long, n long, k1 long, k2 long, signs array<long>"), "signs")
     classes = signed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("signs").alias("signs"))
@@ -303,11 +296,52 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     named = classes.select("cid", "k1", "k2", "rep").join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "comp").select("k1", "k2", "component_id")
-    full = signed.where("n > 0").join(named, ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    empty = signed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    full = signed.where("n > 0").join(named, ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2", "component_id")
+    empty = signed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2", F.col("doc_id").alias("component_id"))
     return full.unionByName(empty)
 
 
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id), one row a document.
+
+    Words are runs of bytes outside ASCII white space, with A-Z lower-cased. A set has the distinct shingles of WIDTH words;
+    with fewer words, the whole sequence as one; a null text, or one without words, has an empty set, is linked
+    with nothing, and is a component of its own id. Documents with equal sets are linked. component_id is the
+    least id of the component; null ids are least only where there is no other. Repeated rows get a row each, whatever their
+    ids. Very long texts are compared whole. An empty table gives no rows.
+    """
+    return _linked(docs, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def _keyed(at: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in it:
+            for lo, hi in slices(rb.column(at)):
+                part = rb.slice(lo, hi - lo)
+                n, k1, k2 = keys_of(*sets_of(part.column(at)), hi - lo)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n.astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))], [*part.schema.names, "n", "k1", "k2"])
+
+    return run
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, with all its columns: the one with the least id.
+
+    Documents without words are linked with nothing and all stay. Of rows that repeat the least id within a component one stays.
+    """
+    chosen = _linked(docs, id_col, text_col).where(F.col("n_shingles") > 0).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # An id may be the least of several components, each with texts of its own, so keys decide with it.
+    chosen = chosen.select("doc_id", "k1", "k2").distinct()
+    columns = docs.columns
+    plain = docs.toDF(*[f"x{i}" for i in range(len(columns))])
+    schema = ", ".join(f"x{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields)) + ", n long, k1 long, k2 long"
+    keyed = plain.mapInArrow(_keyed(columns.index(text_col)), schema)
+    the_id = F.col(f"x{columns.index(id_col)}").cast("long")
+    full = keyed.where("n > 0").join(chosen, the_id.eqNullSafe(chosen["doc_id"]) & (keyed["k1"] == chosen["k1"]) & (keyed["k2"] == chosen["k2"]), "left_semi")
+    kept = full.dropDuplicates([f"x{columns.index(id_col)}", "k1", "k2"]).unionByName(keyed.where("n = 0"))
+    return kept.drop("n", "k1", "k2").toDF(*columns)
+
+
 def _fewest_signed(band):
     """Fewest partitions that any set signs in a larger band or the next one: those of a set at its lower end."""
     out = F.lit(0)
