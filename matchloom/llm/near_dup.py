@@ -11,8 +11,9 @@ set has in it. Sets that differ in d elements agree on all but d of the partitio
  * Larger bands enumerate the first m partitions, m growing with the set's size within its band so that a pair of
    exactly the least similarity agrees on none with a probability of MISS at most (1e-12; less for more similar ones).
 
-Equal sets are one class with one signing member. Candidates are verified on whole texts, by exact intersection and
-union. First each signature's sets are compared with the least of them, which is linear in the number of signatures
+Equal sets are one class with one signing member. Candidates are first held against each other by sketches (BINS one-
+permutation minima of a byte each), which turn away a similar pair with a probability of MISS at most, and then verified on
+whole texts, by exact intersection and union. First each signature's sets are compared with the least of them, which is linear in the number of signatures
 whatever the size of a group; verified links are contracted to components. Then only signatures whose sets still lie
 in several components are looked at: all pairs of different components in groups of up to SMALL sets. Larger groups
 come from passages that many documents share; sets that have enough signatures outside such groups have met all their
@@ -37,8 +38,10 @@ WIDTH = 5
 SIMILAR = (3, 4)
 #: The smallest band, and the largest that enumerates all its partitions.
 BAND, FULL_BAND = 4, 64
-#: Probability that a pair of the least similarity shares no signature of a larger band.
+#: Probability that a pair of the least similarity shares no signature of a larger band, and that its sketches turn it away.
 MISS = 1e-12
+#: Bins of a sketch.
+BINS = 128
 #: Groups of a signature of up to so many sets are compared pair by pair where needed.
 SMALL = 64
 #: Followers that are verified with one copy of a leader's text.
@@ -128,6 +131,48 @@ def signatures(text: np.ndarray, g: np.ndarray, sizes: np.ndarray) -> tuple[np.n
     return t[order], s[order]
 
 
+def sketches(text: np.ndarray, g: np.ndarray, n: int) -> np.ndarray:
+    """For each text and bin of the domain one byte of the least element's hash; 0 for an empty bin."""
+    h = mix64(g ^ U(0xC2B2AE35))
+    least = np.full(n * BINS, np.iinfo(U).max, U)
+    np.minimum.at(least, text.astype(np.int64) * BINS + (h % U(BINS)).astype(np.int64), h // U(BINS))
+    return np.where(least == np.iinfo(U).max, 0, 1 + mix64(least) % U(255)).astype(np.uint8).reshape(n, BINS)
+
+
+def _least_agreeing() -> np.ndarray:
+    """For each number of bins that aren't empty in both sketches, the least number of equal ones to go on with: fewer have a probability of MISS at most (Chernoff's bound) for a similar pair."""
+    j, out = SIMILAR[0] / SIMILAR[1], np.zeros(BINS + 1, np.int64)
+    for n in range(1, BINS + 1):
+        for t in range(1, n + 1):
+            x = (t - 1) / n
+            gap = (x * math.log(x / j) if x else 0.0) + (1 - x) * math.log((1 - x) / (1 - j))
+            if x >= j or n * gap < -math.log(MISS):
+                break
+            out[n] = t
+    return out
+
+
+LEAST_AGREEING = _least_agreeing()
+
+
+def may_be_similar(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether each pair of rows of sketches may belong to a similar pair of sets."""
+    agree = ((one == others) & (one > 0)).sum(axis=-1)
+    return agree >= LEAST_AGREEING[((one > 0) | (others > 0)).sum(axis=-1)]
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
+
+
+def _promising(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, sketch of a, sketch of b): the pairs that may be similar."""
+    for rb in it:
+        if rb.num_rows:
+            keep = pa.array(may_be_similar(_sketches(rb.column(2)), _sketches(rb.column(3))))
+            yield rb.select([0, 1]).filter(keep)
+
+
 def _sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rb in it:
         for lo, hi in slices(rb.column(1)):
@@ -138,7 +183,8 @@ def _sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t, s = signatures(text, g, sizes)
             ends = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=n))]).astype(np.int32)
             signs = pa.ListArray.from_arrays(pa.array(ends), pa.array(s.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes.astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), signs], ["doc_id", "n", "k1", "k2", "signs"])
+            sketch = pa.array([x.tobytes() for x in sketches(text, g, n)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes.astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), signs, sketch], ["doc_id", "n", "k1", "k2", "signs", "sketch"])
 
 
 def _groups(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,31 +218,39 @@ def _similar_sizes(a: str, b: str):
 
 
 def _cross(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by sig: pairs of sets of different components and similar sizes within a signature."""
+    """Rows sorted by sig: pairs of sets of different components, of similar sizes and with agreeing sketches, within a signature."""
     p, q = SIMILAR
-    held: list[np.ndarray] | None = None
+    names = ["sig", "cid", "n", "comp", "sketch"]
+    held: pa.Table | None = None
 
-    def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        sig, cid, n, comp = rows
+    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        sig, cid, n, comp = (rows.column(x).to_numpy() for x in names[:4])
+        sketch = _sketches(rows.column("sketch"))
         starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        out: list[np.ndarray] = []
         for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(sig)], strict=True):
             for i in range(lo, hi - 1):
-                o = slice(i + 1, hi)
-                hit = (comp[o] != comp[i]) & (np.minimum(n[o], n[i]) * q >= np.maximum(n[o], n[i]) * p)
-                if hit.any():
-                    other = cid[o][hit]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, cid[i])), pa.array(np.maximum(other, cid[i]))], ["a", "b"])
+                o = np.arange(i + 1, hi)
+                o = o[(comp[o] != comp[i]) & (np.minimum(n[o], n[i]) * q >= np.maximum(n[o], n[i]) * p)]
+                o = o[may_be_similar(sketch[i], sketch[o])] if len(o) else o
+                if len(o):
+                    out.append(np.stack([np.minimum(cid[o], cid[i]), np.maximum(cid[o], cid[i])]))
+        if out:
+            a, b = np.concatenate(out, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     for rb in it:
-        rows = [rb.column(i).to_numpy() for i in range(4)]
+        rows = pa.Table.from_batches([rb])
         if held is not None:
-            rows = [np.concatenate([h, x]) for h, x in zip(held, rows, strict=True)]
-        if not len(rows[0]):
+            rows = pa.concat_tables([held, rows])
+        if not rows.num_rows:
             continue
-        last = int(np.searchsorted(rows[0], rows[0][-1]))
-        held = [x[last:] for x in rows]
-        yield from pairs([x[:last] for x in rows]) if last else ()
-    if held is not None and len(held[0]):
+        sig = rows.column("sig").to_numpy()
+        last = int(np.searchsorted(sig, sig[-1]))
+        held = rows.slice(last)
+        if last:
+            yield from pairs(rows.slice(0, last))
+    if held is not None and held.num_rows:
         yield from pairs(held)
 
 
@@ -264,14 +318,17 @@ def components(edges: DataFrame) -> DataFrame:
 def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, n_shingles, k1, k2, component_id): link() with the keys of the sets."""
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("body"))
-    signed = written(plain.mapInArrow(_sign, "doc_id long, n long, k1 long, k2 long, signs array<long>"), "signs")
-    classes = signed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("signs").alias("signs"))
+    signed = written(plain.mapInArrow(_sign, "doc_id long, n long, k1 long, k2 long, signs array<long>, sketch binary"), "signs")
+    classes = signed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("signs").alias("signs"), F.first("sketch").alias("sketch"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = classes.select(F.explode("signs").alias("sig"), "cid", "n").repartition(parts, "sig").sortWithinPartitions("sig", "cid")
     groups = written(rows.mapInArrow(_groups, "sig long, cid long, n long, least long, least_n long"), "groups")
 
     star = groups.where((F.col("cid") != F.col("least")) & _similar_sizes("n", "least_n")).select(F.col("least").alias("a"), F.col("cid").alias("b")).distinct()
+    sketch_of = classes.select("cid", "sketch")
+    star = star.join(sketch_of.toDF("a", "x"), "a").join(sketch_of.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    star = cut(star.mapInArrow(_promising, "a long, b long"))
     # Texts of the sets that have any candidate: classes are found in the documents by their least id and their key.
     asked = groups.select("cid").distinct().join(classes.select("cid", "rep", "k1", "k2"), "cid")
     found = plain.join(asked, plain["doc_id"].eqNullSafe(asked["rep"])).select("cid", "k1", "k2", "body")
@@ -288,7 +345,8 @@ def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         spare = F.when(own <= FULL_BAND, 0).otherwise(F.floor(_fewest_signed(own) / 4))
         short = large.groupBy("cid").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("lost")).where(F.col("lost") > spare).select("cid")
         rest = open_rows.where(F.col("k") <= SMALL).drop("k").unionByName(large.join(short, "cid", "left_semi").drop("k"))
-        more = rest.select("sig", "cid", "n", "comp").repartition(parts, "sig").sortWithinPartitions("sig", "cid").mapInArrow(_cross, "a long, b long").distinct()
+        rest = rest.join(sketch_of, "cid").select("sig", "cid", "n", "comp", "sketch")
+        more = rest.repartition(parts, "sig").sortWithinPartitions("sig", "cid").mapInArrow(_cross, "a long, b long").distinct()
         more = cut(more.join(star, ["a", "b"], "left_anti"))
         edges = cut(edges.unionByName(verified(more, bodies)))
         labels = components(edges)
