@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.store import drop, scratch
+from matchloom.llm.store import drop, scratch, small_batches
 
 #: Documents that must hold a line for it to go.
 MIN_DOCS = 10
@@ -165,6 +165,7 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOC
     table gives no rows. Columns may be null or have any names; the operator's own working columns are renamed apart.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     others = [c for c in docs.columns if c != text_col]
     body = F.col("body")
     plain = docs.select(*[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(others)], F.col(f"`{text_col}`").alias("body"))

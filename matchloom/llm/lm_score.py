@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.store import scratch
+from matchloom.llm.store import scratch, small_batches
 from matchloom.llm.words import U, Words, as_bytes, ngrams, words
 
 #: Words of the longest n-gram.
@@ -142,6 +142,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType
+    small_batches(spark)
     plain = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("body"))
     # Blocks are written once, so that asking and scoring see the same ones; bucketed, so that neither shuffles a text.
     name = f"blocks_{scratch(spark, 'blocks').rpartition('-')[2]}"

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.store import written
+from matchloom.llm.store import small_batches, written
 from matchloom.llm.words import as_bytes, slices
 
 #: Bytes of a block; payloads are padded to a positive multiple of it.
@@ -479,6 +479,7 @@ def _tensors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, media): each whole text as a progressive JPEG. A null text counts as empty and is one block of zeros. Repeated rows are stored alike, null ids are kept, an empty table gives no rows."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("body")).mapInArrow(_encode, f"doc_id {kind}, media binary")
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.store import cut, written
+from matchloom.llm.store import cut, small_batches, written
 from matchloom.llm.words import U, as_bytes, mix64, shingles, slices, words
 
 #: Words of a shingle; least similarity as a fraction.
@@ -317,6 +317,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, n_shingles, k1, k2, component_id): link() with the keys of the sets."""
+    small_batches(docs.sparkSession)
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("body"))
     signed = written(plain.mapInArrow(_sign, "doc_id long, n long, k1 long, k2 long, signs array<long>, sketch binary"), "signs")
     classes = signed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("signs").alias("signs"), F.first("sketch").alias("sketch"))

@@ -22,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.llm.store import small_batches
+
 #: Tokens of a sequence.
 LENGTH = 1024
 #: A chunk ends after so many documents or tokens.
@@ -142,6 +144,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("body"))
     return rows.mapInArrow(_pack(tokenizer, length, to_arrow_type(kind)), SCHEMA.format(kind=kind.simpleString()))

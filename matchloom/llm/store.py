@@ -21,6 +21,17 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or found).rstrip("/")
 
 
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python in batches of BATCH_ROWS rows. Spark's own default of 10,000 rows takes hundreds of MB outside the heap where texts are long; a setting of the user's stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of a narrow table: a reliable checkpoint, which Spark's cleaner removes once unused."""
     shared_dir(df.sparkSession)

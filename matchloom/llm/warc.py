@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.store import scratch
+from matchloom.llm.store import scratch, small_batches
 
 #: Payloads of at least so many bytes may become revisits.
 MIN_BYTES = 1000
@@ -118,6 +118,7 @@ def write(pages: DataFrame, root: str, min_bytes: int = MIN_BYTES) -> DataFrame:
     with the largest page_id are responses (all of them, where rows repeat that id) and the others revisits of it;
     null ids come before all others, and a group of null ids only is all responses. An empty table gives an empty index.
     """
+    small_batches(pages.sparkSession)
     body = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(body).alias("digest"), F.octet_length(body).alias("n"))
     # Only counts and ids are gathered by digest here; one row a group of two or more goes on.
