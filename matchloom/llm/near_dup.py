@@ -11,13 +11,14 @@ set has in it. Sets that differ in d elements agree on all but d of the partitio
  * Larger bands enumerate the first m partitions, m growing with the set's size within its band so that a pair of
    exactly the least similarity agrees on none with a probability of MISS at most (1e-12; less for more similar ones).
 
-Equal sets are one class with one signing member. Candidates are first held against each other by sketches (BINS one-
-permutation minima of a byte each), which turn away a similar pair with a probability of MISS at most, and then verified on
-whole texts, by exact intersection and union. First each signature's sets are compared with the least of them, which is linear in the number of signatures
+Equal sets are one class with one signing member. Candidates are first held against each other by sketches (the VALUES
+least 16-bit hashes of a set, which is all of them for most sets), which turn away a similar pair with a probability of
+about TURN at most, and then verified on whole texts, by exact intersection and union. First each signature's sets are compared with the least of them, which is linear in the number of signatures
 whatever the size of a group; verified links are contracted to components. Then only signatures whose sets still lie
 in several components are looked at: all pairs of different components in groups of up to SMALL sets. Larger groups
 come from passages that many documents share; sets that have enough signatures outside such groups have met all their
 partners there, so only the others, which hold little but shared passages, are compared within them. No pair is dropped.
+Comparing sketches within a group multiplies bounded blocks of a matrix in place; only promising pairs leave it.
 """
 
 from __future__ import annotations
@@ -38,10 +39,13 @@ WIDTH = 5
 SIMILAR = (3, 4)
 #: The smallest band, and the largest that enumerates all its partitions.
 BAND, FULL_BAND = 4, 64
-#: Probability that a pair of the least similarity shares no signature of a larger band, and that its sketches turn it away.
+#: Probability that a pair of the least similarity shares no signature of a larger band.
 MISS = 1e-12
-#: Bins of a sketch.
-BINS = 128
+#: Values of a sketch, and the probability that sketches turn away a pair of the least similarity.
+VALUES = 256
+TURN = 1e-9
+#: Rows of a group whose sketches are held against all others at a time.
+BLOCK = 512
 #: Groups of a signature of up to so many sets are compared pair by pair where needed.
 SMALL = 64
 #: Followers that are verified with one copy of a leader's text.
@@ -131,46 +135,71 @@ def signatures(text: np.ndarray, g: np.ndarray, sizes: np.ndarray) -> tuple[np.n
     return t[order], s[order]
 
 
-def sketches(text: np.ndarray, g: np.ndarray, n: int) -> np.ndarray:
-    """For each text and bin of the domain one byte of the least element's hash; 0 for an empty bin."""
-    h = mix64(g ^ U(0xC2B2AE35))
-    least = np.full(n * BINS, np.iinfo(U).max, U)
-    np.minimum.at(least, text.astype(np.int64) * BINS + (h % U(BINS)).astype(np.int64), h // U(BINS))
-    return np.where(least == np.iinfo(U).max, 0, 1 + mix64(least) % U(255)).astype(np.uint8).reshape(n, BINS)
-
-
-def _least_agreeing() -> np.ndarray:
-    """For each number of bins that aren't empty in both sketches, the least number of equal ones to go on with: fewer have a probability of MISS at most (Chernoff's bound) for a similar pair."""
-    j, out = SIMILAR[0] / SIMILAR[1], np.zeros(BINS + 1, np.int64)
-    for n in range(1, BINS + 1):
-        for t in range(1, n + 1):
-            x = (t - 1) / n
-            gap = (x * math.log(x / j) if x else 0.0) + (1 - x) * math.log((1 - x) / (1 - j))
-            if x >= j or n * gap < -math.log(MISS):
-                break
-            out[n] = t
-    return out
-
-
-LEAST_AGREEING = _least_agreeing()
+def sketches(text: np.ndarray, g: np.ndarray, n: int) -> list[bytes]:
+    """The least VALUES distinct 16-bit hashes of each set, in order."""
+    pair = np.unique(text.astype(U) << U(16) | mix64(g ^ U(0xC2B2AE35)) >> U(48))
+    owner = (pair >> U(16)).astype(np.int64)
+    edges = np.searchsorted(owner, np.arange(n + 1))
+    values = (pair & U(0xFFFF)).astype("<u2")
+    return [values[a : min(a + VALUES, b)].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
 
-def may_be_similar(one: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Whether each pair of rows of sketches may belong to a similar pair of sets."""
-    agree = ((one == others) & (one > 0)).sum(axis=-1)
-    return agree >= LEAST_AGREEING[((one > 0) | (others > 0)).sum(axis=-1)]
+def _least_share(seen: np.ndarray, sizes: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """The least share of common values, of those seen in a pair, to go on with. sizes: elements of both sets together.
 
-
-def _sketches(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
+    Where both sketches are whole sets, only hashes that fall together can lower the share: ten of them are allowed for.
+    Else the values seen are a sample without replacement of the union; the allowance is Serfling's bound.
+    """
+    j = SIMILAR[0] / SIMILAR[1]
+    seen = np.maximum(seen, 1)
+    rest = np.clip(1 - (seen - 1) / np.maximum(sizes / (1 + j), 1), 0, 1)
+    return j - 10 * (1 - j) / seen - np.where(whole, 0.0, np.sqrt(-math.log(TURN) * rest / (2 * seen)))
 
 
 def _promising(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, sketch of a, sketch of b): the pairs that may be similar."""
+    """Rows (a, b, elements of both, sketch of a, sketch of b): the pairs that may be similar."""
     for rb in it:
-        if rb.num_rows:
-            keep = pa.array(may_be_similar(_sketches(rb.column(2)), _sketches(rb.column(3))))
-            yield rb.select([0, 1]).filter(keep)
+        if not rb.num_rows:
+            continue
+        seen, common, whole = (np.zeros(rb.num_rows, np.int64) for _ in range(3))
+        for i, (x, y) in enumerate(zip(rb.column(3).to_pylist(), rb.column(4).to_pylist(), strict=True)):
+            a, b = np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")
+            top = min(int(v[-1]) if len(v) == VALUES else 1 << 16 for v in (a, b))
+            whole[i] = top == 1 << 16
+            a, b = a[: np.searchsorted(a, top, "right")], b[: np.searchsorted(b, top, "right")]
+            common[i] = len(np.intersect1d(a, b, assume_unique=True))
+            seen[i] = len(a) + len(b) - common[i]
+        keep = common >= seen * _least_share(seen, rb.column(2).to_numpy(), whole > 0)
+        yield rb.select([0, 1]).filter(pa.array(keep))
+
+
+def promising_in_group(n: np.ndarray, comp: np.ndarray, sketch: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a group that belong to different components, have similar sizes and may be similar."""
+    p, q = SIMILAR
+    rows = [np.frombuffer(x, "<u2") for x in sketch]
+    top = np.array([int(v[-1]) if len(v) == VALUES else 1 << 16 for v in rows])
+    flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(v) for v in rows])
+    values, at, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(times > 1)
+    column = np.full(len(values), -1)
+    column[shared] = np.arange(len(shared))
+    some = column[at] >= 0
+    has = np.zeros((len(rows), len(shared)), np.float32)
+    has[owner[some], column[at][some]] = 1
+    below = np.stack([np.searchsorted(v, top, "right") for v in rows]) if len(rows) <= BLOCK else None
+    for lo in range(0, len(rows), BLOCK):
+        i = np.arange(lo, min(lo + BLOCK, len(rows)))
+        common = has[i] @ has.T
+        mine = below[i] if below is not None else np.stack([np.searchsorted(rows[k], top, "right") for k in i])
+        theirs = below[:, i].T if below is not None else np.stack([np.searchsorted(v, top[i], "right") for v in rows], axis=1)
+        seen = mine + theirs - common
+        whole = np.minimum(top[i][:, None], top[None, :]) == 1 << 16
+        hit = (np.arange(len(rows))[None, :] > i[:, None]) & (comp[i][:, None] != comp[None, :])
+        hit &= np.minimum(n[i][:, None], n[None, :]) * q >= np.maximum(n[i][:, None], n[None, :]) * p
+        hit &= common >= seen * _least_share(seen, n[i][:, None] + n[None, :], whole)
+        a, b = np.nonzero(hit)
+        if len(a):
+            yield i[a], b
 
 
 def _sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +212,7 @@ def _sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t, s = signatures(text, g, sizes)
             ends = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=n))]).astype(np.int32)
             signs = pa.ListArray.from_arrays(pa.array(ends), pa.array(s.view(np.int64)))
-            sketch = pa.array([x.tobytes() for x in sketches(text, g, n)], pa.binary())
+            sketch = pa.array(sketches(text, g, n), pa.binary())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes.astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), signs, sketch], ["doc_id", "n", "k1", "k2", "signs", "sketch"])
 
 
@@ -218,25 +247,33 @@ def _similar_sizes(a: str, b: str):
 
 
 def _cross(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by sig: pairs of sets of different components, of similar sizes and with agreeing sketches, within a signature."""
-    p, q = SIMILAR
-    names = ["sig", "cid", "n", "comp", "sketch"]
+    """Rows sorted by sig: the promising pairs within each signature. A pair leaves only the least signature that its sets share (`sigs` has those of a set's rows, in order)."""
     held: pa.Table | None = None
 
+    def first_shared(at: int, a: list[int], b: frozenset[int]) -> bool:
+        return next(x for x in a if x in b) == at
+
     def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        sig, cid, n, comp = (rows.column(x).to_numpy() for x in names[:4])
-        sketch = _sketches(rows.column("sketch"))
+        sig, cid, n, comp = (rows.column(x).to_numpy() for x in ("sig", "cid", "n", "comp"))
+        sketch, own = rows.column("sketch").to_pylist(), rows.column("sigs")
         starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-        out: list[np.ndarray] = []
+        out: tuple[list[int], list[int]] = ([], [])
         for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(sig)], strict=True):
-            for i in range(lo, hi - 1):
-                o = np.arange(i + 1, hi)
-                o = o[(comp[o] != comp[i]) & (np.minimum(n[o], n[i]) * q >= np.maximum(n[o], n[i]) * p)]
-                o = o[may_be_similar(sketch[i], sketch[o])] if len(o) else o
-                if len(o):
-                    out.append(np.stack([np.minimum(cid[o], cid[i]), np.maximum(cid[o], cid[i])]))
-        if out:
-            a, b = np.concatenate(out, axis=1)
+            if hi - lo < 2:
+                continue
+            lists: dict[int, list[int]] = {}
+            sets: dict[int, frozenset[int]] = {}
+            for i, j in promising_in_group(n[lo:hi], comp[lo:hi], sketch[lo:hi]):
+                for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                    for z in (x, y):
+                        if z not in lists:
+                            lists[z] = own[lo + z].as_py()
+                            sets[z] = frozenset(lists[z])
+                    if first_shared(int(sig[lo]), lists[x], sets[y]):
+                        out[0].append(int(cid[lo + x]))
+                        out[1].append(int(cid[lo + y]))
+        if out[0]:
+            a, b = np.minimum(*out), np.maximum(*out)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     for rb in it:
@@ -326,9 +363,10 @@ def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = classes.select(F.explode("signs").alias("sig"), "cid", "n").repartition(parts, "sig").sortWithinPartitions("sig", "cid")
     groups = written(rows.mapInArrow(_groups, "sig long, cid long, n long, least long, least_n long"), "groups")
 
-    star = groups.where((F.col("cid") != F.col("least")) & _similar_sizes("n", "least_n")).select(F.col("least").alias("a"), F.col("cid").alias("b")).distinct()
+    star = groups.where((F.col("cid") != F.col("least")) & _similar_sizes("n", "least_n"))
+    star = star.select(F.col("least").alias("a"), F.col("cid").alias("b"), (F.col("n") + F.col("least_n")).alias("n")).distinct()
     sketch_of = classes.select("cid", "sketch")
-    star = star.join(sketch_of.toDF("a", "x"), "a").join(sketch_of.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    star = star.join(sketch_of.toDF("a", "x"), "a").join(sketch_of.toDF("b", "y"), "b").select("a", "b", "n", "x", "y")
     star = cut(star.mapInArrow(_promising, "a long, b long"))
     # Texts of the sets that have any candidate: classes are found in the documents by their least id and their key.
     asked = groups.select("cid").distinct().join(classes.select("cid", "rep", "k1", "k2"), "cid")
@@ -346,7 +384,9 @@ def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         spare = F.when(own <= FULL_BAND, 0).otherwise(F.floor(_fewest_signed(own) / 4))
         short = large.groupBy("cid").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("lost")).where(F.col("lost") > spare).select("cid")
         rest = open_rows.where(F.col("k") <= SMALL).drop("k").unionByName(large.join(short, "cid", "left_semi").drop("k"))
-        rest = rest.join(sketch_of, "cid").select("sig", "cid", "n", "comp", "sketch")
+        rest = cut(rest.select("sig", "cid", "n", "comp"))
+        lists = rest.groupBy("cid").agg(F.sort_array(F.collect_list("sig")).alias("sigs"))  # as many as a set signs, at most
+        rest = rest.join(sketch_of.join(lists, "cid"), "cid").select("sig", "cid", "n", "comp", "sketch", "sigs")
         more = rest.repartition(parts, "sig").sortWithinPartitions("sig", "cid").mapInArrow(_cross, "a long, b long").distinct()
         more = cut(more.join(star, ["a", "b"], "left_anti"))
         edges = cut(edges.unionByName(verified(more, bodies)))
