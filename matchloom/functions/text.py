@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from matchloom.functions import rules
 
@@ -31,7 +32,7 @@ def to_ascii(s: str | None) -> str:
     return "".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _transliterate(s: pd.Series) -> pd.Series:
     return s.map(to_ascii)
 
@@ -91,13 +92,16 @@ def char_grams(c: Column, low: int, high: int) -> Column:
     """Character n-grams of each word, padded with a space at both ends; words that repeat keep their repeats."""
     words = F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda t: t != "")
 
+    def runs(padded: Column, n: int, count: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substring(padded, i, F.lit(n)))
+
     def of(word: Column) -> Column:
         padded = F.concat(F.lit(" "), word, F.lit(" "))
         parts = []
         for n in range(low, high + 1):
             count = F.length(padded) - (n - 1)
             one = F.array(padded) if n == low else F.array().cast("array<string>")
-            parts.append(F.when(count >= 1, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i, n=n: F.substring(padded, i, F.lit(n)))).otherwise(one))
+            parts.append(F.when(count >= 1, runs(padded, n, count)).otherwise(one))
         return F.concat(*parts)
 
     return F.flatten(F.transform(words, of))

@@ -59,7 +59,7 @@ def scores(queries: DataFrame, pool: DataFrame) -> DataFrame:
 def ranked(pairs: DataFrame, by: str, k: int, other: str, score: Column | None = None) -> DataFrame:
     """The k best of each `by`, ranked from 1; ties by the other id."""
     order = Window.partitionBy(by).orderBy(F.desc("score"), other)
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return pairs.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
 def forward(queries: DataFrame, pool: DataFrame, k: int) -> DataFrame:

@@ -6,13 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLES: dict[str, str] = {}
+from matchloom.plans import matching, relational
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES
+    return {**relational.queries(), **matching.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return _ORACLES
+    return {**relational.oracle_sql(), **matching.ORACLES}
