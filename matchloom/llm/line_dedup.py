@@ -25,12 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.store import drop, scratch, small_batches
+from matchloom.llm.store import cut, drop, scratch, small_batches
 
 #: Documents that must hold a line for it to go.
 MIN_DOCS = 10
 #: Batches that documents come in.
-BATCHES = 4
+BATCHES = 3
 #: Runs of a level that are merged into one of the next.
 FANOUT = 2
 
@@ -85,11 +85,10 @@ class Runs:
         self.levels: list[list[str]] = []
         self.root = scratch(spark, "runs")
 
-    def save(self, df: DataFrame, **partition: str) -> str:
+    def save(self, df: DataFrame) -> str:
         """A bucketed, sorted table of df at a path of its own."""
         name = f"run_{uuid.uuid4().hex}"
-        writer = df.write.format("parquet").option("path", f"{self.root}/{name}").bucketBy(self.buckets, "hi").sortBy(*KEY)
-        (writer.partitionBy(*partition.values()) if partition else writer).saveAsTable(name)
+        df.write.format("parquet").option("path", f"{self.root}/{name}").bucketBy(self.buckets, *KEY).sortBy(*KEY).saveAsTable(name)
         return name
 
     def forget(self, name: str) -> None:
@@ -177,10 +176,10 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOC
 
     runs = Runs(spark, buckets, min_docs)
     counts = pairs.groupBy("batch", *KEY).agg(F.sum("copies").alias("n"))
-    name = runs.save(counts.repartition(runs.buckets, "hi"), by="batch")
+    # The checkpoint keeps the partitioning, which is that of the runs' buckets.
+    counts = cut(counts.repartition(runs.buckets, *KEY).sortWithinPartitions(*KEY))
     for b in range(batches):
-        runs.add(spark.table(name).where(F.col("batch") == b).select(*KEY, "n"))
-    runs.forget(name)
+        runs.add(counts.where(F.col("batch") == b).select(*KEY, "n"))
 
     lost = pairs.select(*TEXT_KEY, *KEY).join(runs.frequent(), KEY, "left_semi")
     lost = lost.groupBy(*TEXT_KEY).agg(F.collect_set(F.struct(*KEY)).alias("gone"))
