@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from matchloom.functions import rules, similarity
 from matchloom.functions.text import by_country, country_key, grams3, jaccard, lookup, same, tokens
+from matchloom.session import written
 
 METHODS = ("name", "name_city", "name_addr", "reverse", "rare")
 SCORED, FORWARD = METHODS[:4], METHODS[:3]
@@ -165,8 +166,13 @@ RECORD = ["country", "full_name", "core_name", "nolegal", "legal", "legal_any",
 
 
 def build(pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """The 86 features of (s1, cand) pairs with blocking columns, as floats; null is missing."""
+    """The 86 features of (s1, cand) pairs with blocking columns, as floats; null is missing.
+
+    Records feed five branches and pairs three, so both are written once: neither the rules of normalisation nor the searches
+    are run again, and their expressions are not folded into each other.
+    """
+    records = written(prepare(records).select("entity_id", *RECORD), "records")
     total, frequency, names = count_stats(records)
-    df = joined(blocking_features(pairs), prepare(records), RECORD)
+    df = written(joined(blocking_features(pairs), records, RECORD), "pairs")
     df = context_features(other_features(frequency_features(idf_features(name_features(df), total, frequency), names)))
     return df.select("s1", "cand", *[F.col(c).cast("float").alias(c) for c in df.columns if c.startswith("f_")])
