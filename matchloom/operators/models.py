@@ -11,6 +11,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.session import written
+
 MISSING = -1.0
 
 
@@ -36,7 +38,7 @@ def fold_of(key: Column, n: int, salt: int = 0) -> Column:
 
 def out_of_fold(df: DataFrame, features: list[str], label: str, folds: int = 5, name: str = "p1", **options: int) -> DataFrame:
     """Scores of each row from a model that saw no row of its query."""
-    df = df.withColumn("_fold", fold_of(F.col("s1"), folds))
+    df = written(df.withColumn("_fold", fold_of(F.col("s1"), folds)), "folds")  # rounds of boosting read features, not their sources
     parts = [predict(train(df.where(F.col("_fold") != k), features, label, **options), df.where(F.col("_fold") == k), features, name) for k in range(folds)]
     return reduce(DataFrame.unionByName, parts).drop("_fold")
 

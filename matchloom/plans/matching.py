@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchloom.functions import similarity
+from matchloom.functions.text import skeleton
 from matchloom.operators import blocking, candidates, features, models, normalise, selection
 from matchloom.plans import relational
 from matchloom.session import table
@@ -105,8 +107,77 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.out_of_fold(rows, ["n", "marks", "capitals"], "quality", folds=3, rounds=5, depth=3)
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hits(spark, sf_dir).withColumnRenamed("score", "p")
+
+
+def _s1s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _records(spark, sf_dir).where(F.col("entity_id").startswith("S1-")).select(F.col("entity_id").alias("s1"), "country")
+
+
+def tfidf_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weighted grams of all names."""
+    texts = _records(spark, sf_dir).select(F.col("entity_id").alias("id"), "country", F.coalesce("state", F.lit(blocking.NONE)).alias("bucket"), F.col("core_name").alias("text"))
+    return blocking.postings(texts, max_df=0.2).select("id", "gram", F.round("w", 6).alias("w"))
+
+
+def prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.prune(_scored(spark, sf_dir), "p", 0.3, 3).select("s1", "cand", "p")
+
+
+def select_owner_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.select(_scored(spark, sf_dir), 0.4, owner_delta=0.05).select("s1", "cand", "p")
+
+
+def select_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thresholds and margins by country; countries without their own take the defaults."""
+    scored = _scored(spark, sf_dir).join(_s1s(spark, sf_dir), "s1")
+    return selection.select_adaptive(scored, {"US": 0.4, "France": 0.6}, {"US": 0.2}).select("s1", "cand", "p")
+
+
+def operating_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each bar on the average list, the list length with the best recall: all lengths are counted in one pass, as rows."""
+    hits, truth = _hits(spark, sf_dir), _truth(spark, sf_dir)
+    found = hits.join(truth.withColumn("hit", F.lit(1)), ["s1", "cand"], "left").groupBy("rank").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("tp"))
+    totals = _s1s(spark, sf_dir).agg(F.count(F.lit(1)).alias("s1s")).join(truth.agg(F.count(F.lit(1)).alias("pairs")))  # one row each
+    points = found.select(F.explode(F.sequence(F.col("rank").cast("int"), F.lit(5))).alias("k"), "n", "tp").groupBy("k").agg(F.sum("n").alias("n"), F.sum("tp").alias("tp")).join(F.broadcast(totals))
+    points = points.select("k", (F.col("n") / F.col("s1s")).alias("avg_size"), (F.col("tp") / F.col("pairs")).alias("recall"))
+    bars = points.select("*", F.explode(F.array(F.lit(2.0), F.lit(4.0), F.lit(6.0))).alias("bar")).where("avg_size <= bar")
+    best = bars.groupBy("bar").agg(F.min(F.struct((-F.col("recall")).alias("r"), "k")).alias("b"))
+    return best.select("bar", F.col("b.k").cast("long").alias("k"), F.round(-F.col("b.r"), 9).alias("recall"))
+
+
+def topn_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the pairs found forward that are found in reverse too, at each rank."""
+    both = _hits(spark, sf_dir).join(reverse_search(spark, sf_dir).select("s1", "cand", F.lit(1).alias("hit")), ["s1", "cand"], "left")
+    return both.groupBy("rank").agg(F.round(F.avg(F.coalesce("hit", F.lit(0)).cast("double")), 9).alias("agreement"), F.count(F.lit(1)).alias("n"))
+
+
+def read_id_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lists.read_lists(match_lists(spark, sf_dir))
+
+
+def validate_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = _records(spark, sf_dir).select(F.col("entity_id").alias("cand")).where(~F.col("cand").startswith("S1-"))
+    return lists.validate(match_lists(spark, sf_dir), _s1s(spark, sf_dir).select("s1"), pool)
+
+
+def sim_jaro_winkler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _records(spark, sf_dir).select("entity_id", "core_name")
+    pairs = _truth(spark, sf_dir).join(names.toDF("s1", "a"), "s1").join(names.toDF("cand", "b"), "cand")
+    return pairs.select("s1", "cand", F.round(similarity.sim_jaro_winkler("a", "b"), 6).alias("jw"))
+
+
+def skeleton_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates by consonant skeletons that the search by names has not found."""
+    texts = _records(spark, sf_dir).select(F.col("entity_id").alias("id"), "country", F.coalesce("state", F.lit(blocking.NONE)).alias("bucket"), skeleton(F.col("core_name")).alias("text"))
+    posted = blocking.postings(texts, (2, 3), max_df=0.05)
+    s1 = F.col("id").startswith("S1-")
+    return blocking.forward(posted.where(s1), posted.where(~s1), 10).join(_hits(spark, sf_dir).select("s1", "cand"), ["s1", "cand"], "left_anti")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (match_lists, name_search, reverse_search, macro_f05, tune_grid, list_statistics, rare_token_search, dense_search, normalised_records, candidate_table, pair_features, quality_scores)
+    f.__name__: f for f in (match_lists, name_search, reverse_search, macro_f05, tune_grid, list_statistics, rare_token_search, dense_search, normalised_records, candidate_table, pair_features, quality_scores, tfidf_transform, prune, select_owner_delta, select_adaptive, operating_points, topn_check, read_id_lists, validate_lists, sim_jaro_winkler, skeleton_search)
 }
 
 _SEARCH = f"""WITH {relational.records(relational.DUCK)},
@@ -139,4 +210,29 @@ SELECT s1, cand, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY s1
 r AS (SELECT country, t FROM x GROUP BY 1, 2 HAVING count(*) <= 20 AND len(t) >= 3), y AS (SELECT x.* FROM x JOIN r USING (country, t)),
 s AS (SELECT a.id AS s1, b.id AS cand, count(*)::DOUBLE AS score FROM y a JOIN y b ON a.country = b.country AND a.t = b.t WHERE a.id LIKE 'S1-%' AND b.id NOT LIKE 'S1-%' GROUP BY 1, 2)
 SELECT s1, cand, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY score DESC, cand) AS rank FROM s) WHERE rank <= 10""",
+    "tfidf_transform": _SEARCH + " SELECT id, gram, round(w, 6) AS w FROM post",
+    "prune": _SEARCH + " SELECT s1, cand, score AS p FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY score DESC, cand) AS r FROM hits WHERE score >= 0.3) WHERE r <= 3",
+    "select_owner_delta": _SEARCH + " SELECT s1, cand, score AS p FROM (SELECT *, row_number() OVER o AS r, lead(score) OVER o AS nxt FROM hits WHERE score >= 0.4 WINDOW o AS (PARTITION BY cand ORDER BY score DESC, s1)) WHERE r = 1 AND coalesce(score - nxt, 1.0) > 0.05",
+    "select_adaptive": _SEARCH + """, near AS (SELECT h.*, b.country, max(h.score) OVER (PARTITION BY s1) AS best FROM hits h JOIN biz b ON b.entity_id = h.s1 WHERE score >= CASE b.country WHEN 'US' THEN 0.4 WHEN 'France' THEN 0.6 ELSE 0.51 END)
+SELECT s1, cand, score AS p FROM (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY score DESC, s1) AS r FROM near WHERE score >= best - CASE country WHEN 'US' THEN 0.2 ELSE 0.7 END) WHERE r = 1""",
+    "operating_points": _SEARCH + """, t AS (SELECT a.entity_id AS s1, b.entity_id AS cand FROM truth JOIN biz a ON a.doc_id = q JOIN biz b ON b.doc_id = c),
+pt AS (SELECT k, (SELECT count(*) FROM hits WHERE rank <= k) / (SELECT count(*) FROM biz WHERE entity_id LIKE 'S1-%') AS avg_size, (SELECT count(*) FROM hits JOIN t USING (s1, cand) WHERE rank <= k) / (SELECT count(*) FROM t) AS recall FROM range(1, 6) r(k))
+SELECT bar::DOUBLE AS bar, k, round(recall, 9) AS recall FROM (SELECT *, row_number() OVER (PARTITION BY bar ORDER BY recall DESC, k) AS r FROM pt, (VALUES (2.0), (4.0), (6.0)) v(bar) WHERE avg_size <= bar) WHERE r = 1""",
+    "topn_check": _SEARCH + """, back AS (SELECT s1, cand FROM (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY score DESC, s1) AS rank FROM score WHERE score > 0) WHERE rank <= 3)
+SELECT h.rank, round(avg(CASE WHEN b.s1 IS NULL THEN 0.0 ELSE 1.0 END), 9) AS agreement, count(*) AS n FROM hits h LEFT JOIN back b ON h.s1 = b.s1 AND h.cand = b.cand GROUP BY 1""",
+    "read_id_lists": _SEARCH + _CHOSEN + " SELECT s1, cand FROM chosen",
+    "validate_lists": "SELECT unnest(['duplicate_rows', 'duplicate_ids', 'self_ids', 'wrong_prefix', 'unknown_ids', 'missing_s1', 'extra_s1']) AS finding, 0 AS n",
+    "sim_jaro_winkler": f"WITH {relational.records(relational.DUCK)} SELECT a.entity_id AS s1, b.entity_id AS cand, round(jaro_winkler_similarity(a.core_name, b.core_name), 6) AS jw FROM truth JOIN biz a ON a.doc_id = q JOIN biz b ON b.doc_id = c WHERE a.core_name <> '' AND b.core_name <> ''",
+    "tune_grid": _SEARCH + """, t AS (SELECT a.entity_id AS s1, b.entity_id AS cand FROM truth JOIN biz a ON a.doc_id = q JOIN biz b ON b.doc_id = c),
+grid AS (SELECT tau::DOUBLE AS tau, margin::DOUBLE AS margin FROM (VALUES (0.4), (0.5), (0.6), (0.7), (0.8)) x(tau), (VALUES (0.1), (0.3), (1.0)) y(margin)),
+one AS (SELECT * FROM (SELECT h.*, tau, margin, row_number() OVER (PARTITION BY tau, margin, cand ORDER BY score DESC, s1) AS o FROM hits h, grid WHERE score >= tau) WHERE o = 1),
+kept AS (SELECT * FROM (SELECT *, max(score) OVER (PARTITION BY tau, margin, s1) AS best FROM one) WHERE score >= best - margin),
+k AS (SELECT tau, margin, kept.s1, count(t.cand) AS tp, count(*) AS np FROM kept LEFT JOIN t ON t.s1 = kept.s1 AND t.cand = kept.cand GROUP BY 1, 2, 3),
+n AS (SELECT s1, count(*) AS nt FROM t GROUP BY 1),
+f AS (SELECT g.tau, g.margin, coalesce(tp, 0) AS tp, coalesce(np, 0) AS np, coalesce(nt, 0) AS nt FROM biz b CROSS JOIN grid g LEFT JOIN k ON k.s1 = b.entity_id AND k.tau = g.tau AND k.margin = g.margin LEFT JOIN n ON n.s1 = b.entity_id WHERE b.entity_id LIKE 'S1-%')
+SELECT tau, margin, round(avg(CASE WHEN nt = 0 AND np = 0 THEN 1.0 WHEN tp = 0 THEN 0.0 ELSE 1.25 * (tp / np) * (tp / nt) / (0.25 * (tp / np) + tp / nt) END::DOUBLE), 9) AS f05 FROM f GROUP BY 1, 2""",
+    "list_statistics": _SEARCH + """, t AS (SELECT a.entity_id AS s1, b.entity_id AS cand FROM truth JOIN biz a ON a.doc_id = q JOIN biz b ON b.doc_id = c),
+per AS (SELECT country, (SELECT count(*) FROM hits WHERE hits.s1 = b.entity_id) AS size, (SELECT count(*) FROM t WHERE t.s1 = b.entity_id) AS nt, (SELECT count(*) FROM t JOIN hits USING (s1, cand) WHERE t.s1 = b.entity_id) AS nf FROM biz b WHERE b.entity_id LIKE 'S1-%')
+SELECT coalesce(country, 'ALL') AS country, sum(nf) / nullif(sum(nt), 0) AS recall, avg(size) AS avg_size, percentile_disc(0.5) WITHIN GROUP (ORDER BY size::DOUBLE) AS median_size, percentile_disc(0.95) WITHIN GROUP (ORDER BY size::DOUBLE) AS p95_size,
+  avg(CASE WHEN size = 0 THEN 1.0 ELSE 0.0 END) AS empty_share, count(*) AS n_s1 FROM per GROUP BY ROLLUP (country)""",
 }

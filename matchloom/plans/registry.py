@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.plans import matching, relational
+from matchloom.plans import matching, relational, reports  # noqa: F401  (reports adds to relational)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
