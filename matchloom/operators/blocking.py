@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from matchloom.functions.text import char_grams, tokens
+from matchloom.session import written
 
 #: n-gram range, least document frequency, largest share of documents.
 GRAMS, MIN_DF, MAX_DF = (3, 4), 2, 0.02
@@ -41,8 +42,13 @@ def postings(texts: DataFrame, grams: tuple[int, int] = GRAMS, min_df: int = MIN
     total = texts.groupBy("country").agg(F.count(F.lit(1)).alias("n"))
     df = tf.groupBy("country", "gram").agg(F.count(F.lit(1)).alias("df")).join(total, "country").where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
     raw = tf.join(df, ["country", "gram"]).withColumn("x", (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return raw.join(norm, "id").select("id", "country", "bucket", "gram", (F.col("x") / F.col("norm")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("id")))  # as many rows as a text has grams
+    return raw.select("id", "country", "bucket", "gram", (F.col("x") / norm).alias("w"))
+
+
+def index(texts: DataFrame, grams: tuple[int, int] = GRAMS, min_df: int = MIN_DF, max_df: float = MAX_DF) -> DataFrame:
+    """Postings written once: a search reads them six times, and several searches may share them."""
+    return written(postings(texts, grams, min_df, max_df), "postings")
 
 
 def scores(queries: DataFrame, pool: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hits(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     texts = _records(spark, sf_dir).select(F.col("entity_id").alias("id"), "country", F.coalesce("state", F.lit(blocking.NONE)).alias("bucket"), F.col("core_name").alias("text"))
-    posted = blocking.postings(texts, max_df=0.2)
+    posted = blocking.index(texts, max_df=0.2)
     s1 = F.col("id").startswith("S1-")
     return blocking.forward(posted.where(s1), posted.where(~s1), k)
 
@@ -38,7 +38,7 @@ def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reverse_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _records(spark, sf_dir).select(F.col("entity_id").alias("id"), "country", F.coalesce("state", F.lit(blocking.NONE)).alias("bucket"), F.col("core_name").alias("text"))
-    posted = blocking.postings(texts, max_df=0.2)
+    posted = blocking.index(texts, max_df=0.2)
     s1 = F.col("id").startswith("S1-")
     return blocking.reverse(posted.where(s1), posted.where(~s1), 3)
 
@@ -171,7 +171,7 @@ def sim_jaro_winkler(spark: SparkSession, sf_dir: str) -> DataFrame:
 def skeleton_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates by consonant skeletons that the search by names has not found."""
     texts = _records(spark, sf_dir).select(F.col("entity_id").alias("id"), "country", F.coalesce("state", F.lit(blocking.NONE)).alias("bucket"), skeleton(F.col("core_name")).alias("text"))
-    posted = blocking.postings(texts, (2, 3), max_df=0.05)
+    posted = blocking.index(texts, (2, 3), max_df=0.05)
     s1 = F.col("id").startswith("S1-")
     return blocking.forward(posted.where(s1), posted.where(~s1), 10).join(_hits(spark, sf_dir).select("s1", "cand"), ["s1", "cand"], "left_anti")
 
@@ -228,8 +228,8 @@ grid AS (SELECT tau::DOUBLE AS tau, margin::DOUBLE AS margin FROM (VALUES (0.4),
 one AS (SELECT * FROM (SELECT h.*, tau, margin, row_number() OVER (PARTITION BY tau, margin, cand ORDER BY score DESC, s1) AS o FROM hits h, grid WHERE score >= tau) WHERE o = 1),
 kept AS (SELECT * FROM (SELECT *, max(score) OVER (PARTITION BY tau, margin, s1) AS best FROM one) WHERE score >= best - margin),
 k AS (SELECT tau, margin, kept.s1, count(t.cand) AS tp, count(*) AS np FROM kept LEFT JOIN t ON t.s1 = kept.s1 AND t.cand = kept.cand GROUP BY 1, 2, 3),
-n AS (SELECT s1, count(*) AS nt FROM t GROUP BY 1),
-f AS (SELECT g.tau, g.margin, coalesce(tp, 0) AS tp, coalesce(np, 0) AS np, coalesce(nt, 0) AS nt FROM biz b CROSS JOIN grid g LEFT JOIN k ON k.s1 = b.entity_id AND k.tau = g.tau AND k.margin = g.margin LEFT JOIN n ON n.s1 = b.entity_id WHERE b.entity_id LIKE 'S1-%')
+wanted AS (SELECT s1, count(*) AS nt FROM t GROUP BY 1),
+f AS (SELECT g.tau, g.margin, coalesce(tp, 0) AS tp, coalesce(np, 0) AS np, coalesce(nt, 0) AS nt FROM biz b CROSS JOIN grid g LEFT JOIN k ON k.s1 = b.entity_id AND k.tau = g.tau AND k.margin = g.margin LEFT JOIN wanted ON wanted.s1 = b.entity_id WHERE b.entity_id LIKE 'S1-%')
 SELECT tau, margin, round(avg(CASE WHEN nt = 0 AND np = 0 THEN 1.0 WHEN tp = 0 THEN 0.0 ELSE 1.25 * (tp / np) * (tp / nt) / (0.25 * (tp / np) + tp / nt) END::DOUBLE), 9) AS f05 FROM f GROUP BY 1, 2""",
     "list_statistics": _SEARCH + """, t AS (SELECT a.entity_id AS s1, b.entity_id AS cand FROM truth JOIN biz a ON a.doc_id = q JOIN biz b ON b.doc_id = c),
 per AS (SELECT country, (SELECT count(*) FROM hits WHERE hits.s1 = b.entity_id) AS size, (SELECT count(*) FROM t WHERE t.s1 = b.entity_id) AS nt, (SELECT count(*) FROM t JOIN hits USING (s1, cand) WHERE t.s1 = b.entity_id) AS nf FROM biz b WHERE b.entity_id LIKE 'S1-%')

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchloom.session import written
+
 
 def read_tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """All strings, quoted with ", doubled inside; empty cells are empty strings."""
@@ -25,12 +27,13 @@ def write_lists(lists: DataFrame, path: str, header: tuple[str, str]) -> None:
 
 def read_lists(lists: DataFrame) -> DataFrame:
     """(s1, cand) of (s1, ids)."""
-    return lists.select("s1", F.explode(F.filter(F.transform(F.split("ids", ","), F.trim), lambda x: x != "")).alias("cand"))
+    return lists.select("s1", F.explode(F.filter(F.transform(F.split("ids", ","), lambda x: F.trim(x)), lambda x: x != "")).alias("cand"))
 
 
 def validate(lists: DataFrame, s1s: DataFrame, pool: DataFrame) -> DataFrame:
     """(finding, n): repeated rows, repeats within a list, own ids, wrong prefixes, unknown ids, missing and extra queries."""
-    flat, spark = read_lists(lists), lists.sparkSession
+    lists = written(lists, "lists")  # seven findings read it
+    flat = read_lists(lists)
     found = {
         "duplicate_rows": lists.groupBy("s1").count().where("count > 1"), "duplicate_ids": flat.groupBy("s1", "cand").count().where("count > 1"), "self_ids": flat.where(F.col("cand").startswith("S1-")),
         "wrong_prefix": flat.where(~F.col("cand").rlike("^S[123]-")), "unknown_ids": flat.join(pool, "cand", "left_anti"), "missing_s1": s1s.join(lists, "s1", "left_anti"), "extra_s1": lists.join(s1s, "s1", "left_anti"),

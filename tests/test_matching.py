@@ -1,10 +1,12 @@
 """Operators of record matching on small tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from matchloom.functions import similarity
-from matchloom.operators import blocking, candidates, normalise, selection
+from matchloom.operators import blocking, candidates, models, normalise, selection
 from matchloom.plans import registry
 from matchloom.sources import lists
 
@@ -19,6 +21,15 @@ def test_similarity_kernels():
     assert similarity.partial("abc", "xxabcxx") == 1.0
 
 
+def test_partial_equals_every_window():
+    draw = random.Random(7)
+    for _ in range(500):
+        a, b = ("".join(draw.choices("abc ", k=draw.randint(1, 14))) for _ in range(2))
+        short, long = sorted((a, b), key=len)
+        n = len(short)
+        assert similarity.partial(a, b) == pytest.approx(max(similarity.ratio(short, long[max(0, i) : i + n]) for i in range(1 - n, len(long))))
+
+
 @pytest.mark.parametrize(
     ("raw", "country", "full", "core", "legal"),
     [
@@ -70,13 +81,28 @@ def test_prune_and_lists(spark):
     assert out["S1-2"] == "" and out["S1-1"].startswith("S2-11,S2-10")
 
 
+def test_lists_are_read_whole_and_validated(spark):
+    found = spark.createDataFrame([("S1-1", " S2-320 ,S3-100"), ("S1-2", ""), ("S1-3", "S2-9,S2-9,S1-1")], "s1 string, ids string")
+    assert sorted(r["cand"] for r in lists.read_lists(found).where("s1 = 'S1-1'").collect()) == ["S2-320", "S3-100"]
+    s1s = spark.createDataFrame([("S1-1",), ("S1-2",), ("S1-4",)], "s1 string")
+    pool = spark.createDataFrame([("S2-320",), ("S3-100",)], "cand string")
+    got = {r["finding"]: r["n"] for r in lists.validate(found, s1s, pool).collect()}
+    assert got == {"duplicate_rows": 0, "duplicate_ids": 1, "self_ids": 1, "wrong_prefix": 0, "unknown_ids": 3, "missing_s1": 1, "extra_s1": 1}
+
+
+def test_folds_see_no_row_of_their_query(spark):
+    rows = spark.createDataFrame([(f"S1-{i}", float(i % 5), int(i % 5 > 2)) for i in range(60)], "s1 string, x double, y int")
+    out = models.out_of_fold(rows, ["x"], "y", folds=2, rounds=2, depth=2)
+    assert out.count() == 60 and out.where("p1 < 0 or p1 > 1").isEmpty()
+
+
 def test_search_does_not_depend_on_partitions(spark):
     texts = spark.createDataFrame([(f"S{i % 3 + 1}-{i}", "US", "x" if i % 4 else blocking.NONE, f"name{i % 7} shop{i % 5}") for i in range(40)], "id string, country string, bucket string, text string")
     run = lambda df: sorted(map(tuple, blocking.forward(*[blocking.postings(df, max_df=1.0).where(F.col("id").startswith("S1-") == x) for x in (True, False)], 3).collect()))
     assert run(texts.repartition(1)) == run(texts.repartition(8))
 
 
-@pytest.mark.parametrize("name", ["match_lists", "token_idf", "win_best_other", "agg_all_rollup", "auc_rank"])
+@pytest.mark.parametrize("name", ["match_lists", "token_idf", "win_best_other", "win_rank_average", "win_random_fold", "agg_all_rollup", "auc_rank", "pareto", "join_bucket_or_null", "truth_pairs", "numbers", "rarest_token", "noise_rates", "stratified_split", "append_new_pairs"])
 def test_queries_match_duckdb(spark, name):
     import duckdb
 
