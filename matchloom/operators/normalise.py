@@ -111,3 +111,12 @@ def learn_state_aliases(pairs: DataFrame, min_count: int = 30, purity: float = 0
     keep = (F.col("n_c") >= min_count) & (F.col("n") >= purity * F.col("n_c")) & (F.col("n_s1") <= max_s1_ratio * F.col("n_c"))
     keep &= (F.col("top") <= max_city_concentration * F.col("state_top")) & (F.col("with_state") <= max_with_state)
     return stats.where(keep).select("ckey", "c", F.col("s1_state").alias("state"))
+
+
+def alias_diagnostics(pairs: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(ckey, alias, state, pairs, purity): of the pairs (pair_id, country, addr_1, addr_2) whose second address has an alias, how many there are and in which share the first one has its state."""
+    state = components(pairs, "pair_id", "addr_1", "country").where("state is not null").groupBy("pair_id").agg(F.max(F.struct("pos", "state"))["state"].alias("s1_state"))
+    hits = components(pairs, "pair_id", "addr_2", "country").select("pair_id", "ckey", "c").distinct().join(aliases.select("ckey", "c", F.col("state").alias("alias_state")), ["ckey", "c"])
+    hits = hits.join(state, "pair_id", "left")
+    per = hits.groupBy("ckey", F.col("c").alias("alias"), F.col("alias_state").alias("state"))
+    return per.agg(F.count(F.lit(1)).alias("pairs"), F.avg((F.col("s1_state") == F.col("alias_state")).cast("double")).alias("purity"))

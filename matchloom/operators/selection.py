@@ -59,13 +59,52 @@ def summary(table: DataFrame) -> DataFrame:
 
 
 def tune(scored: DataFrame, truth: DataFrame, s1s: DataFrame, taus: list[float], margins: list[float]) -> DataFrame:
-    """Macro F0.5 of all settings in one job: the settings are a few rows, broadcast and carried as a key."""
-    spark = scored.sparkSession
-    grid = spark.createDataFrame([(t, m) for t in taus for m in margins], "tau double, margin double")
-    rows = scored.join(F.broadcast(grid)).where("p >= tau")
+    """(tau, margin, f05): macro F0.5 of all settings in one job. See tune_by()."""
+    return tune_by(scored, truth, s1s, taus, margins)
+
+
+def tune_by(scored: DataFrame, truth: DataFrame, s1s: DataFrame, taus: list[float], margins: list[float], *by: str) -> DataFrame:
+    """Macro F0.5 of all settings, for each value of the columns `by` of the queries: each row is repeated for each of the few settings, which are part of the keys."""
+    grid = F.inline(F.array(*[F.struct(F.lit(float(t)).alias("tau"), F.lit(float(m)).alias("margin")) for t in taus for m in margins]))
+    rows = scored.select("*", grid).where("p >= tau")
     owner = Window.partitionBy("tau", "margin", "cand").orderBy(F.desc("p"), "s1")
     rows = rows.withColumn("_r", F.row_number().over(owner)).where("_r = 1")
     rows = rows.withColumn("_best", F.max("p").over(Window.partitionBy("tau", "margin", "s1"))).where("p >= _best - margin")
     hits = rows.join(truth.withColumn("hit", F.lit(1)), ["s1", "cand"], "left").groupBy("tau", "margin", "s1").agg(F.count("hit").alias("tp"), F.count(F.lit(1)).alias("n_pred"))
-    every = s1s.join(truth.groupBy("s1").agg(F.count(F.lit(1)).alias("n_true")), "s1", "left").join(F.broadcast(grid)).join(hits, ["tau", "margin", "s1"], "left").fillna(0, ["tp", "n_pred", "n_true"])
-    return every.groupBy("tau", "margin").agg(F.avg(f05(F.col("tp"), F.col("n_pred"), F.col("n_true"))).alias("f05"))
+    every = s1s.join(truth.groupBy("s1").agg(F.count(F.lit(1)).alias("n_true")), "s1", "left").select("*", grid).join(hits, ["tau", "margin", "s1"], "left").fillna(0, ["tp", "n_pred", "n_true"])
+    return every.groupBy(*by, "tau", "margin").agg(F.avg(f05(F.col("tp"), F.col("n_pred"), F.col("n_true"))).alias("f05"))
+
+
+def unseen_tau(tau: float, shift: float, seen: list[str], low: float = 0.3, high: float = 0.9) -> Column:
+    """The threshold of a row's country: tau, shifted for countries outside `seen` (a null country is one), and clipped to low and high."""
+    known = F.coalesce(F.col("country").isin(*seen), F.lit(False)) if seen else F.lit(False)
+    return F.greatest(F.lit(low), F.least(F.lit(high), F.when(known, tau).otherwise(tau + shift)))
+
+
+def select_unseen(scored: DataFrame, tau: float, margin: float, shift: float, seen: list[str]) -> DataFrame:
+    """select() of (s1, cand, p, country) with a threshold that is shifted for countries that no label has."""
+    return select(scored.where(F.col("p") >= unseen_tau(tau, shift, seen)), 0.0, margin)
+
+
+def half(id_col: str = "s1") -> Column:
+    """0 or 1 by the number that an id ends in: settings are tuned on one half of the queries and reported on the other."""
+    return F.regexp_extract(id_col, r"(\d+)$", 1).cast("long") % 2
+
+
+def tune_and_report(scored: DataFrame, truth: DataFrame, s1s: DataFrame, taus: list[float], margins: list[float]) -> DataFrame:
+    """(tau, margin, f05_tune, f05_report): the setting that is best on queries with even numbers, ties to the lower tau and margin, with its score on the others."""
+    split = lambda k: (scored.where(half() == k), truth.where(half() == k), s1s.where(half() == k))
+    best = tune(*split(0), taus, margins).orderBy(F.desc("f05"), "tau", "margin").limit(1)
+    other = tune(*split(1), taus, margins).withColumnRenamed("f05", "f05_report")
+    return best.withColumnRenamed("f05", "f05_tune").join(other, ["tau", "margin"])
+
+
+def keeps(new: dict[str, float], old: dict[str, float], least_precision: float = 0.985) -> bool:
+    """Whether a change stays: better overall and in each group of the old report, and precise enough. Both have `precision` and a score a group."""
+    return new["precision"] >= least_precision and all(new.get(k, 0.0) > v for k, v in old.items() if k != "precision")
+
+
+def robust_choice(scores: dict[str, float], order: tuple[str, ...] = ("C", "B", "A"), loss: float = 0.005) -> str:
+    """The first variant, most robust first, that is at most `loss` below the best; the best one if none of them is."""
+    best = max(scores, key=lambda k: scores[k])
+    return next((v for v in order if v in scores and scores[v] >= scores[best] - loss), best)

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.plans import matching, relational, reports  # noqa: F401  (reports adds to relational)
+from matchloom.plans import matching, relational, reports, scoring  # noqa: F401  (reports adds to relational)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**relational.queries(), **matching.QUERIES}
+    return {**relational.queries(), **matching.QUERIES, **scoring.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**relational.oracle_sql(), **matching.ORACLES}
+    return {**relational.oracle_sql(), **matching.ORACLES, **scoring.ORACLES}

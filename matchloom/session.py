@@ -40,18 +40,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage and plan: the table is written once as Parquet into the folder that spark.checkpoint.dir names, and read back.
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names.
 
     Where the setting is unset, as in tests, a folder of this machine serves; elsewhere that is an error.
     """
-    spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = tempfile.mkdtemp(prefix="matchloom-")
         spark.sparkContext.setCheckpointDir(shared)
-    path = f"{shared.rstrip('/')}/matchloom/{name}-{uuid.uuid4().hex}"
+    return f"{shared.rstrip('/')}/matchloom/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage and plan: the table is written once as Parquet into the shared folder, and read back."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -25,6 +25,22 @@ def write_lists(lists: DataFrame, path: str, header: tuple[str, str]) -> None:
     lists.toDF(*header).write.csv(path, sep="\t", header=True, emptyValue="")
 
 
+#: Columns of the two result files.
+MATCHES, CANDIDATES = ("source1_entity_id", "matched_entity_ids"), ("source1_entity_id", "candidate_entity_ids")
+
+
+def write_tsv(df: DataFrame, path: str) -> None:
+    """What read_tsv() reads: all columns as strings, nulls as empty cells."""
+    df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns]).write.csv(path, sep="\t", header=True, quote='"', escape='"', emptyValue="")
+
+
+def write_results(matches: DataFrame, candidates: DataFrame, s1s: DataFrame, path: str, score: str | None = None) -> None:
+    """Both result files under a path, with a row for each query. Raises if a match is not a candidate."""
+    check_subset(matches, candidates)
+    write_lists(id_lists(matches, s1s, score), f"{path}/matches", MATCHES)
+    write_lists(id_lists(candidates, s1s, score), f"{path}/candidates", CANDIDATES)
+
+
 def read_lists(lists: DataFrame) -> DataFrame:
     """(s1, cand) of (s1, ids)."""
     return lists.select("s1", F.explode(F.filter(F.transform(F.split("ids", ","), lambda x: F.trim(x)), lambda x: x != "")).alias("cand"))
