@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from matchloom.functions import similarity
 from matchloom.functions.text import skeleton
 from matchloom.operators import blocking, candidates, features, models, normalise, selection
 from matchloom.plans import relational
-from matchloom.session import table
+from matchloom.session import table, written
 from matchloom.sources import lists
 
 
@@ -83,11 +84,31 @@ def normalised_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalise.normalise_records(raw)
 
 
+#: Depths of the wide list: the deepest that the grid of rules and the wide lists of the pruner ask for.
+FWD_K, REV_M, RARE_K = 50, 5, 20
+
+
+def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, country, bucket, name, name_city, name_addr): the texts that forward searches compare."""
+    places = normalised_records(spark, sf_dir).select("entity_id", "city", F.replace("addr_norm", F.lit(","), F.lit("")).alias("addr"))
+    bucket, core = F.coalesce("state", F.lit(blocking.NONE)).alias("bucket"), F.col("core_name").alias("name")
+    texts = _records(spark, sf_dir).join(places, "entity_id", "left")
+    return texts.select(F.col("entity_id").alias("id"), "country", bucket, core, F.concat_ws(" ", "core_name", "city").alias("name_city"), F.concat_ws(" ", "core_name", "addr").alias("name_addr"))
+
+
 def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _hits(spark, sf_dir).select(F.lit("state").alias("scope"), "s1", "cand", F.lit("name").alias("method"), "score", "rank", F.lit(None).cast("double").alias("best"))
-    back = reverse_search(spark, sf_dir).select(F.lit("state").alias("scope"), "s1", "cand", F.lit("reverse").alias("method"), "score", "rank", "best")
-    rare = rare_token_search(spark, sf_dir).select(F.lit("state").alias("scope"), "s1", "cand", F.lit("rare").alias("method"), "score", "rank", F.lit(None).cast("double").alias("best"))
-    return candidates.add_best(blocking.to_wide(hits.unionByName(back).unionByName(rare)))
+    """All pairs of the three forward searches, the reverse one by names and the one by rare tokens, as deep as any rule asks."""
+    views, s1 = written(_views(spark, sf_dir), "views"), F.col("id").startswith("S1-")
+    cells = lambda df, method, best: df.select(F.lit("state").alias("scope"), "s1", "cand", F.lit(method).alias("method"), "score", "rank", best.alias("best"))
+    none, found = F.lit(None).cast("double"), []
+    for view in candidates.FORWARD:
+        posted = blocking.index(views.select("id", "country", "bucket", F.col(view).alias("text")), max_df=0.2)
+        found.append(cells(blocking.forward(posted.where(s1), posted.where(~s1), FWD_K), view, none))
+        if view == "name":
+            found.append(cells(blocking.reverse(posted.where(s1), posted.where(~s1), REV_M), "reverse", F.col("best")))
+    names = views.select("id", "country", F.col("name").alias("text"))
+    found.append(cells(blocking.rare_tokens(names.where(s1), names.where(~s1), blocking.token_frequency(names), RARE_K), "rare", none))
+    return candidates.add_best(blocking.to_wide(reduce(DataFrame.unionByName, found)))
 
 
 def candidate_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,7 +148,7 @@ def pruner_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosted trees over the wide list, trained on even queries with the rest of them held out to stop early, scoring all rows."""
     truth = _truth(spark, sf_dir).withColumn("y", F.lit(1))
     wide = written(_wide(spark, sf_dir).join(truth, ["s1", "cand"], "left").fillna(0, ["y"]), "wide")
-    columns = ["score_name", "rank_name", "score_reverse", "rank_reverse", "score_rare", "rank_rare", "order"]
+    columns = [*[f"{c}_{m}" for m in candidates.FORWARD for c in ("score", "rank")], "score_reverse", "rank_reverse", "score_rare", "rank_rare", "order"]
     rows = candidates.training_sample(wide.where(selection.half() == 0), "y", 100_000).withColumn("stop", models.fold_of(F.col("s1"), 10) == 0)
     model = models.train(rows, columns, "y", rounds=10, depth=4, held_out="stop")
     return models.predict(model, wide.select("s1", "cand", *columns), columns, "p_keep").select("s1", "cand", "p_keep")

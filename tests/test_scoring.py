@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import similarity
 from matchloom.operators import blocking, candidates, effectiveness, models, normalise, pair_extra, selection
+from matchloom.plans import matching
 from matchloom.sources import files, lists
 
 PREPARED = "entity_id string, country string, state string, core_name string, nolegal string, legal string, addr_norm string, numbers array<string>"
@@ -104,6 +105,18 @@ def test_grid_equals_one_rule_at_a_time(spark):
         assert got[x.name()]["avg_size"] == pytest.approx(n / 7) and got[x.name()]["recall"] == pytest.approx(hit / 18)
 
 
+def test_wide_lists_are_as_deep_as_the_rules_ask(spark, tmp_path):
+    words = ["zorbex", "willow", "kumquat", "finch", "harbour", "plinth"]
+    rows = [(i, f"{words[i // 90]} shop rare{i // 18}\n".ljust(60) + f"{i % 90} elm street, {words[i // 90]}ville", "en", "web", 100) for i in range(540)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    wide = matching._wide(spark, str(tmp_path))
+    deepest = wide.agg(*[F.max(f"rank_{m}").alias(m) for m in blocking.METHODS]).first().asDict()
+    assert (deepest["name"], deepest["name_city"], deepest["name_addr"], deepest["reverse"]) == (50, 50, 50, 5)
+    assert deepest["rare"] == 12  # all that a token of 18 records leads to
+    sizes = {k: wide.where(candidates.rule(fwd_k=k)).count() for k in (5, 10, 20, 50)}
+    assert sizes[5] < sizes[10] < sizes[20] < sizes[50]
+
+
 def test_protocols(spark):
     scored = spark.createDataFrame([(f"S1-{i}", f"S2-{i}", 0.3 + 0.05 * (i % 10)) for i in range(40)], "s1 string, cand string, p double")
     truth = scored.where("p >= 0.5").select("s1", "cand")
