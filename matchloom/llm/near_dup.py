@@ -15,10 +15,9 @@ Equal sets are one class with one signing member. Candidates are first held agai
 least 16-bit hashes of a set, which is all of them for most sets), which turn away a similar pair with a probability of
 about TURN at most, and then verified on whole texts, by exact intersection and union. First each signature's sets are compared with the least of them, which is linear in the number of signatures
 whatever the size of a group; verified links are contracted to components. Then only signatures whose sets still lie
-in several components are looked at: all pairs of different components in groups of up to SMALL sets. Larger groups
-come from passages that many documents share; sets that have enough signatures outside such groups have met all their
-partners there, so only the others, which hold little but shared passages, are compared within them. No pair is dropped.
-Comparing sketches within a group multiplies bounded blocks of a matrix in place; only promising pairs leave it.
+in several components are looked at: all pairs of different components, in groups of any size. No pair that shares a
+signature is dropped; a large group, of a passage that many documents share, costs the square of its sets. Comparing
+sketches within a group multiplies bounded blocks of a matrix in place; only promising pairs leave it.
 """
 
 from __future__ import annotations
@@ -46,8 +45,6 @@ VALUES = 256
 TURN = 1e-9
 #: Rows of a group whose sketches are held against all others at a time.
 BLOCK = 512
-#: Groups of a signature of up to so many sets are compared pair by pair where needed.
-SMALL = 64
 #: Followers that are verified with one copy of a leader's text.
 CHUNK = 256
 
@@ -184,22 +181,30 @@ def promising_in_group(n: np.ndarray, comp: np.ndarray, sketch: list[bytes]) ->
     column = np.full(len(values), -1)
     column[shared] = np.arange(len(shared))
     some = column[at] >= 0
-    has = np.zeros((len(rows), len(shared)), np.float32)
-    has[owner[some], column[at][some]] = 1
-    below = np.stack([np.searchsorted(v, top, "right") for v in rows]) if len(rows) <= BLOCK else None
-    for lo in range(0, len(rows), BLOCK):
+    edges, at, owner = np.searchsorted(owner[some], np.arange(len(rows) + 1)), column[at][some], owner[some]
+
+    def block(lo: int) -> tuple[np.ndarray, np.ndarray]:
         i = np.arange(lo, min(lo + BLOCK, len(rows)))
-        common = has[i] @ has.T
-        mine = below[i] if below is not None else np.stack([np.searchsorted(rows[k], top, "right") for k in i])
-        theirs = below[:, i].T if below is not None else np.stack([np.searchsorted(v, top[i], "right") for v in rows], axis=1)
-        seen = mine + theirs - common
-        whole = np.minimum(top[i][:, None], top[None, :]) == 1 << 16
-        hit = (np.arange(len(rows))[None, :] > i[:, None]) & (comp[i][:, None] != comp[None, :])
-        hit &= np.minimum(n[i][:, None], n[None, :]) * q >= np.maximum(n[i][:, None], n[None, :]) * p
-        hit &= common >= seen * _least_share(seen, n[i][:, None] + n[None, :], whole)
-        a, b = np.nonzero(hit)
-        if len(a):
-            yield i[a], b
+        has = np.zeros((len(i), len(shared)), np.float32)
+        mine = slice(edges[lo], edges[i[-1] + 1])
+        has[owner[mine] - lo, at[mine]] = 1
+        return i, has
+
+    for lo in range(0, len(rows), BLOCK):
+        i, has = block(lo)
+        for over in range(lo, len(rows), BLOCK):
+            j, others = (i, has) if over == lo else block(over)
+            common = has @ others.T
+            mine = np.stack([np.searchsorted(rows[k], top[j], "right") for k in i])
+            theirs = np.stack([np.searchsorted(rows[k], top[i], "right") for k in j], axis=1)
+            seen = mine + theirs - common
+            whole = np.minimum(top[i][:, None], top[j][None, :]) == 1 << 16
+            hit = (j[None, :] > i[:, None]) & (comp[i][:, None] != comp[j][None, :])
+            hit &= np.minimum(n[i][:, None], n[j][None, :]) * q >= np.maximum(n[i][:, None], n[j][None, :]) * p
+            hit &= common >= seen * _least_share(seen, n[i][:, None] + n[j][None, :], whole)
+            a, b = np.nonzero(hit)
+            if len(a):
+                yield i[a], j[b]
 
 
 def _sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,15 +381,9 @@ def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     labels = components(edges)
 
     labelled = groups.join(labels, "cid", "left").select("sig", "cid", "n", F.coalesce("comp", "cid").alias("comp"))
-    mixed = cut(labelled.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi").select("sig", "k"))
+    mixed = cut(labelled.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig"))
     if not mixed.isEmpty():
-        open_rows = labelled.join(mixed, "sig")
-        large = cut(open_rows.where(F.col("k") > SMALL))
-        own = F.pow(F.lit(2), F.greatest(F.ceil(F.log2(F.col("n") / BAND)), F.lit(0))) * BAND
-        spare = F.when(own <= FULL_BAND, 0).otherwise(F.floor(_fewest_signed(own) / 4))
-        short = large.groupBy("cid").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("lost")).where(F.col("lost") > spare).select("cid")
-        rest = open_rows.where(F.col("k") <= SMALL).drop("k").unionByName(large.join(short, "cid", "left_semi").drop("k"))
-        rest = cut(rest.select("sig", "cid", "n", "comp"))
+        rest = cut(labelled.join(mixed, "sig").select("sig", "cid", "n", "comp"))
         lists = rest.groupBy("cid").agg(F.sort_array(F.collect_list("sig")).alias("sigs"))  # as many as a set signs, at most
         rest = rest.join(sketch_of.join(lists, "cid"), "cid").select("sig", "cid", "n", "comp", "sketch", "sigs")
         more = rest.repartition(parts, "sig").sortWithinPartitions("sig", "cid").mapInArrow(_cross, "a long, b long").distinct()
@@ -441,15 +440,6 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return kept.drop("n", "k1", "k2").toDF(*columns)
 
 
-def _fewest_signed(band):
-    """Fewest partitions that any set signs in a larger band or the next one: those of a set at its lower end."""
-    out = F.lit(0)
-    for k in range(1, 40):
-        b = FULL_BAND << k
-        out = F.when(band == b, F.lit(int(enumerated(np.array([b // 2 + 1]), np.array([b]))[0]))).otherwise(out)
-    return out
-
-
 def _own(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (cid, k1, k2, body) whose text has the class's key: an id may belong to several texts."""
     for rb in it:

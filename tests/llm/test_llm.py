@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from matchloom.llm import langid, line_dedup, lm_score, media, mixing, near_dup, packing, quality, sharding, warc
@@ -127,6 +128,19 @@ def test_near_duplicates(docs):
     assert sorted(map(str, (r["doc_id"] for r in kept if WORD.search(r["text"] or "")))) == sorted(map(str, full))
 
 
+def test_near_duplicates_by_a_common_passage_only(spark):
+    """200 texts share a passage, and each is as similar as need be to the text that is the passage alone: all their common signatures are in groups of about 100 sets. Of 4000 such texts, one that has the fewest of them is taken."""
+    rng = np.random.default_rng(1)
+    passage = [f"s{i}" for i in range(199)]
+    texts = [" ".join([*passage, *[f"x{k}" for k in rng.integers(0, 1 << 40, 65)]]) for _ in range(4000)]
+    text, g = near_dup.sets_of(pa.array([*texts, " ".join(passage)]))
+    t, s = near_dup.signatures(text, g, np.bincount(text))
+    shared = np.bincount(t[np.isin(s, s[t == 4000])], minlength=4001)[:4000]
+    data = [*texts[:199], texts[int(np.argmin(shared))], " ".join(passage)]
+    got = near_dup.link(spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in got} == {0}
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
