@@ -80,7 +80,8 @@ def dense_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalised_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = table(spark, sf_dir, "documents").select(F.concat(F.lit("S"), (F.col("doc_id") % 3 + 1).cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id"), F.substring("text", 1, 60).alias("business_name"), F.substring("text", 61, 140).alias("business_address"), F.expr("CASE lang WHEN 'en' THEN 'US' WHEN 'fr' THEN 'France' WHEN 'de' THEN 'Germany' ELSE 'Spain' END").alias("country"))
+    """Whole documents: the first line is the name and all the rest the address. The record view in SQL reads 200 characters only."""
+    raw = table(spark, sf_dir, "documents").select(F.concat(F.lit("S"), (F.col("doc_id") % 3 + 1).cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id"), F.substring_index("text", "\n", 1).alias("business_name"), F.when(F.instr("text", "\n") > 0, F.expr("substring(text, instr(text, chr(10)) + 1)")).otherwise(F.substring("text", 1, 0)).alias("business_address"), F.expr("CASE lang WHEN 'en' THEN 'US' WHEN 'fr' THEN 'France' WHEN 'de' THEN 'Germany' ELSE 'Spain' END").alias("country"))
     return normalise.normalise_records(raw)
 
 

@@ -117,6 +117,16 @@ def test_wide_lists_are_as_deep_as_the_rules_ask(spark, tmp_path):
     assert sizes[5] < sizes[10] < sizes[20] < sizes[50]
 
 
+def test_normalised_records_read_whole_texts(spark, tmp_path):
+    name, far = "zorbex " * 20 + "end", "elm road, " * 40 + "last 4711"
+    rows = [(1, f"{name}\n{far}", "en"), (2, name, "en"), (3, None, "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["entity_id"]: r for r in matching.normalised_records(spark, str(tmp_path)).collect()}
+    assert got["S2-1"]["core_name"] == name and got["S3-2"]["core_name"] == name
+    assert got["S2-1"]["numbers"] == ["4711"] and got["S2-1"]["addr_norm"].endswith("last 4711") and got["S2-1"]["addr_norm"].count(",") == 40
+    assert got["S3-2"]["business_address"] == "" and got["S1-3"]["business_address"] is None
+
+
 def test_protocols(spark):
     scored = spark.createDataFrame([(f"S1-{i}", f"S2-{i}", 0.3 + 0.05 * (i % 10)) for i in range(40)], "s1 string, cand string, p double")
     truth = scored.where("p >= 0.5").select("s1", "cand")
