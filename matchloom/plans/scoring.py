@@ -202,6 +202,11 @@ def transliterated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", transliterate(F.split("text", "\n")[0]).alias("head"))
 
 
+def transliterated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents; transliterated has first lines only, as its DuckDB twin."""
+    return table(spark, sf_dir, "documents").select("doc_id", transliterate(F.col("text")).alias("text"))
+
+
 def legal_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of parts with a legal form behind, taken apart."""
     form = F.element_at(F.array(*[F.lit(x) for x in ("Pvt. Ltd.", "L.L.C.", "SARL", "")]), (F.col("p_partkey") % 4 + 1).cast("int"))
@@ -244,7 +249,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         list_features, rival_features, word_difference, extra_features, set_features, count_stats, country_counts, select_tau2, select_unseen_shift, per_entity, tune_report_protocol,
         config_grid, search_piece, ce_sieve, ce_blend, blend, ce_grid, training_rows, pruner_scores, text_scores, effectiveness_auc, eda_similarity_dist, eda_hard_negatives,
-        learn_state_aliases, alias_diagnostics, transliterated, legal_names, scan_tsv, write_submission, read_schema, find_file,
+        learn_state_aliases, alias_diagnostics, transliterated, transliterated_text, legal_names, scan_tsv, write_submission, read_schema, find_file,
     )
 }
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import similarity
 from matchloom.operators import blocking, candidates, effectiveness, models, normalise, pair_extra, selection
-from matchloom.plans import matching
+from matchloom.plans import matching, registry
 from matchloom.sources import files, lists
 
 PREPARED = "entity_id string, country string, state string, core_name string, nolegal string, legal string, addr_norm string, numbers array<string>"
@@ -127,6 +127,12 @@ def test_normalised_records_read_whole_texts(spark, tmp_path):
     assert got["S3-2"]["business_address"] == "" and got["S1-3"]["business_address"] is None
 
 
+def test_whole_texts_are_transliterated(spark, tmp_path):
+    spark.createDataFrame([(1, "plain\nCafé\nœuvre Straße"), (2, "é\r\n\nплан"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = dict(map(tuple, registry.queries()["transliterated_text"](spark, str(tmp_path)).collect()))
+    assert got == {1: "plain\nCafe\noeuvre Strasse", 2: "e\r\n\npeelaen", 3: ""}
+
+
 def test_protocols(spark):
     scored = spark.createDataFrame([(f"S1-{i}", f"S2-{i}", 0.3 + 0.05 * (i % 10)) for i in range(40)], "s1 string, cand string, p double")
     truth = scored.where("p >= 0.5").select("s1", "cand")
