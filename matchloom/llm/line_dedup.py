@@ -9,7 +9,8 @@ merged once more, and keys with enough documents are the frequent ones: exactly,
 of a run after another run has it as frequent.
 
 Lines are dropped in a second pass: each distinct text's keys are semi-joined with the frequent keys, what is left
-is gathered by text, and texts are joined with the keys that they lose.
+is gathered by text, and texts are joined with the keys that they lose. Copies of a text meet its keys in SALTS tasks, and
+adaptive execution splits those further where they are large. Runs and keys are removed when they are no longer read.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ MIN_DOCS = 10
 BATCHES = 3
 #: Runs of a level that are merged into one of the next.
 FANOUT = 2
+#: Tasks that the copies of a text are dealt over.
+SALTS = 8
 
 STRIP = b" \t\n\x0b\x0c\r"
 KEY = ["hi", "lo"]
@@ -122,6 +125,14 @@ class Runs:
             out = out.join(other.hint("merge"), KEY, "full").select(*KEY, (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).cast("long").alias("n"))
         return out
 
+    def clear(self) -> None:
+        """Remove all runs."""
+        for level in self.levels:
+            for name in level:
+                self.forget(name)
+        self.levels = []
+        drop(self.spark, self.root)
+
     def frequent(self) -> DataFrame:
         """Keys in enough documents."""
         names = [x for level in self.levels for x in level]
@@ -153,22 +164,18 @@ def _cut(n_extra: int):
     return run
 
 
-def dedup_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, min_chars: int = 1, batches: int = BATCHES, buckets: int | None = None) -> DataFrame:
-    """The documents with `kept`, `n_lines` and `n_dropped` in place of the text column; other columns stay.
-
-    A line's key is the line without ASCII white space at its ends and with A-Z lower-cased. Keys of at least min_chars
-    code points found in at least min_docs documents lose all their lines in all documents; other lines stay as they
-    are, joined by a line feed. Each row is a document: repeated rows count each, whatever their ids. A null
-    text has one empty line, loses nothing and stays null; an empty text likewise stays empty. Blank lines have empty keys
-    and stay (with min_chars of 1 or more). A text that loses all its lines becomes empty, and stays as a row. An empty
-    table gives no rows. Columns may be null or have any names; the operator's own working columns are renamed apart.
-    """
+def _without(docs: DataFrame, text_col: str, min_docs: int, min_chars: int, batches: int, buckets: int | None) -> DataFrame:
+    """Columns x0, x1 ... (all of docs but the text, by place), kept, n_lines, n_dropped."""
     spark = docs.sparkSession
     small_batches(spark)
-    others = [c for c in docs.columns if c != text_col]
-    body = F.col("body")
-    plain = docs.select(*[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(others)], F.col(f"`{text_col}`").alias("body"))
-    keyed = plain.withColumns({"t1": F.xxhash64(body), "t2": F.xxhash64(F.lit(7), body)})
+    at = docs.columns.index(text_col)
+    renamed = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    others = [i for i in range(len(docs.columns)) if i != at]
+    plain = renamed.select(*[F.col(f"c{i}").alias(f"x{k}") for k, i in enumerate(others)], F.col(f"c{at}").alias("body"))
+    body, row = F.col("body"), F.monotonically_increasing_id()
+    # Texts without a line that could go need not meet: they are dealt out by their place.
+    blank = F.coalesce(F.trim(body) == "", F.lit(True))
+    keyed = plain.withColumns({"t1": F.when(blank, F.xxhash64(F.lit(3), row)).otherwise(F.xxhash64(body)), "t2": F.xxhash64(F.lit(7), body), "salt": F.pmod(row, F.lit(SALTS)).cast("int")})
     pairs_at = scratch(spark, "line-keys")
     found = keyed.select("t1", "t2", "body").mapInArrow(_keys(min_chars, batches), "batch int, t1 long, t2 long, hi long, lo long, copies long")
     found.write.option("compression", "zstd").parquet(pairs_at)
@@ -182,11 +189,49 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOC
         runs.add(counts.where(F.col("batch") == b).select(*KEY, "n"))
 
     lost = pairs.select(*TEXT_KEY, *KEY).join(runs.frequent(), KEY, "left_semi")
-    lost = lost.groupBy(*TEXT_KEY).agg(F.collect_set(F.struct(*KEY)).alias("gone"))
-    joined = keyed.join(lost, TEXT_KEY, "left").select(*[f"x{i}" for i in range(len(others))], "body", "gone")
-    kinds = ", ".join(f"x{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(others))
-    out = joined.mapInArrow(_cut(len(others)), f"{kinds + ', ' if kinds else ''}kept string, n_lines long, n_dropped long")
-    return out.select(*[F.col(f"x{i}").alias(c) for i, c in enumerate(others)], "kept", "n_lines", "n_dropped")
+    lost = cut(lost.groupBy(*TEXT_KEY).agg(F.collect_set(F.struct(*KEY)).alias("gone")))
+    runs.clear()
+    drop(spark, pairs_at)
+    # Copies of a text are dealt over SALTS tasks; what it loses is sent to each.
+    salted = lost.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = keyed.join(salted, [*TEXT_KEY, "salt"], "left").select(*[f"x{k}" for k in range(len(others))], "body", "gone")
+    kinds = ", ".join(f"x{k} {docs.schema.fields[i].dataType.simpleString()}" for k, i in enumerate(others))
+    return joined.mapInArrow(_cut(len(others)), f"{kinds + ', ' if kinds else ''}kept string, n_lines long, n_dropped long")
+
+
+def dedup_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, min_chars: int = 1, batches: int = BATCHES, buckets: int | None = None) -> DataFrame:
+    """The documents with `kept`, `n_lines` and `n_dropped` in place of the text column; other columns stay.
+
+    A line's key is the line without ASCII white space at its ends and with A-Z lower-cased. Keys of at least min_chars
+    code points found in at least min_docs documents lose all their lines in all documents; other lines stay as they
+    are, joined by a line feed. Each row is a document: repeated rows count each, whatever their ids. A null
+    text has one empty line, loses nothing and stays null; an empty text likewise stays empty. Blank lines have empty keys
+    and stay (with min_chars of 1 or more). A text that loses all its lines becomes empty, and stays as a row. An empty
+    table gives no rows. Columns may be null or have any names; where the table has a column of one of the three names
+    already, that stays and the new one gets underscores at its end until it differs.
+    """
+    names = [c for c in docs.columns if c != text_col]
+    for new in ("kept", "n_lines", "n_dropped"):
+        while new in names:
+            new += "_"
+        names.append(new)
+    return _without(docs, text_col, min_docs, min_chars, batches, buckets).toDF(*names)
+
+
+def without_common_lines(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """The documents, columns and all, with the lines that dedup_lines() drops taken out of their texts. chars_col, where the table has it, follows the text."""
+    columns = docs.columns
+    out = _without(docs, text_col, MIN_DOCS, 1, BATCHES, None)
+    places = [c for c in columns if c != text_col]
+
+    def column(c: str):
+        if c == text_col:
+            return F.col("kept").alias(c)
+        if c == chars_col:
+            return F.char_length("kept").cast(docs.schema[c].dataType).alias(c)
+        return F.col(f"x{places.index(c)}").alias(c)
+
+    return out.select(*[column(c) for c in columns])
 
 
 def sha256_hex(text: str | None) -> str:

@@ -3,21 +3,26 @@
 A document's set holds the hashes of its word shingles. Two sets of a and b elements with a Jaccard similarity of J or more
 differ in at most (1 - J) / (1 + J) * (a + b) elements. Sets are dealt into size bands up to R, 2R, 4R ...; a set
 signs for its own band, and for the next one if a similar set may be that large. A band divides the domain of elements
-into partitions by a hash, the same for all its sets; a signature is one nonempty partition with the elements that the
-set has in it. Sets that differ in d elements agree on all but d of the partitions at least.
-
- * Bands of up to 64 elements enumerate all their partitions, which are more than d: similar sets always share a
-   signature. A set with no more nonempty partitions than d also signs its empty ones.
- * Larger bands enumerate the first m partitions, m growing with the set's size within its band so that a pair of
-   exactly the least similarity agrees on none with a probability of MISS at most (1e-12; less for more similar ones).
+by a hash, the same for all its sets, into partitions of SECOND parts each. For each partition all subsets of
+SECOND - LOST parts are enumerated: a signature is one subset with the elements that the set has in it. Sets
+that differ in at most LOST parts of a partition share one of its signatures.
+
+ * Bands of up to FULL_BAND elements are exact. They have more partitions than differences / (LOST + 1), so similar sets
+   always share a signature. A set signs its partitions in order until those could not all be spoilt by as many
+   differences as it may have: a partition with elements in two parts or more takes two differences to lose all its
+   nonempty signatures, one with elements in one part takes one. Of two similar sets the one that stops first has, among
+   the partitions that both sign, one that is not spoilt. A set that runs out of partitions also signs empty subsets.
+ * Larger bands sign the first m partitions, m growing with the set's size within its band so that a pair of
+   exactly the least similarity shares no signature with a probability of MISS at most (1e-12; less for more similar ones).
 
 Equal sets are one class with one signing member. Candidates are first held against each other by sketches (the VALUES
 least 16-bit hashes of a set, which is all of them for most sets), which turn away a similar pair with a probability of
-about TURN at most, and then verified on whole texts, by exact intersection and union. First each signature's sets are compared with the least of them, which is linear in the number of signatures
-whatever the size of a group; verified links are contracted to components. Then only signatures whose sets still lie
-in several components are looked at: all pairs of different components, in groups of any size. No pair that shares a
-signature is dropped; a large group, of a passage that many documents share, costs the square of its sets. Comparing
-sketches within a group multiplies bounded blocks of a matrix in place; only promising pairs leave it.
+about TURN at most, and then verified on whole texts, by exact intersection and union. First each signature's sets are
+compared with the least of them, which is linear in the number of signatures whatever the size of a group; verified links
+are contracted to components. Then only signatures whose sets still lie in several components are looked at: all pairs of
+different components, in groups of any size. A group is cut into tiles, and each pair of tiles is a task's work of
+its own, so a passage that many documents share costs the square of its sets but never more memory than two tiles.
+Comparing sketches multiplies blocks of bounded height and width in place; only promising pairs leave a task.
 """
 
 from __future__ import annotations
@@ -30,21 +35,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.store import cut, small_batches, written
+from matchloom.llm.store import cut, drop, scratch, small_batches, written_at
 from matchloom.llm.words import U, as_bytes, mix64, shingles, slices, words
 
 #: Words of a shingle; least similarity as a fraction.
 WIDTH = 5
 SIMILAR = (3, 4)
-#: The smallest band, and the largest that enumerates all its partitions.
-BAND, FULL_BAND = 4, 64
+#: The smallest band, and the largest in which similar sets always share a signature.
+BAND, FULL_BAND = 4, 256
+#: Parts of a partition, and how many of them may differ where a signature is shared.
+SECOND, LOST = 3, 1
 #: Probability that a pair of the least similarity shares no signature of a larger band.
 MISS = 1e-12
 #: Values of a sketch, and the probability that sketches turn away a pair of the least similarity.
 VALUES = 256
 TURN = 1e-9
-#: Rows of a group whose sketches are held against all others at a time.
-BLOCK = 512
+#: Rows of a tile of a group; rows and values of a block of sketches that are multiplied at a time.
+TILE, BLOCK, COLUMNS = 2048, 512, 8192
 #: Followers that are verified with one copy of a leader's text.
 CHUNK = 256
 
@@ -56,30 +63,41 @@ def bands(sizes: np.ndarray) -> np.ndarray:
 
 def partitions(band: np.ndarray) -> np.ndarray:
     """Partitions of the domain in a band."""
-    return np.where(band <= 16, band, np.where(band <= FULL_BAND, band // 2, band // 3))
+    p, q = SIMILAR
+    most = 2 * band * (q - p) // (q + p)
+    return np.where(band <= FULL_BAND, most // (LOST + 1) + 1, 2 * band // 9)
 
 
 def enumerated(sizes: np.ndarray, band: np.ndarray) -> np.ndarray:
-    """How many partitions a set signs in a band."""
-    j = SIMILAR[0] / SIMILAR[1]
-    x = 3.0 * sizes / band  # elements a partition; a union has up to 1 / J times as many
-    agree = np.minimum(np.exp(-(1 - j) * x) - np.exp(-x), np.exp(-(1 - j) * x / j) - np.exp(-x / j))
-    m = np.ceil(math.log(MISS) / np.log1p(-np.clip(agree, 1e-9, 1 - 1e-9))).astype(np.int64)
-    n = partitions(band)
+    """How many partitions a set signs at most in a band."""
+    j, n = SIMILAR[0] / SIMILAR[1], partitions(band)
+
+    def agree(union: np.ndarray) -> np.ndarray:
+        """Probability that a partition has two parts without a difference, and not both empty."""
+        x = union / (SECOND * n)
+        none = np.exp(-x)
+        same = np.exp(-(1 - j) * x)
+        return same**3 - none**3 + 3 * (1 - same) * (same**2 - none**2)
+
+    least = np.minimum(agree(sizes), agree(sizes / j))
+    m = np.ceil(math.log(MISS) / np.log1p(-np.clip(least, 1e-9, 1 - 1e-9))).astype(np.int64)
     return np.where(band <= FULL_BAND, n, np.minimum(m, n))
 
 
-def differences(size: int, band: int) -> int:
+def differences(sizes: np.ndarray, band: np.ndarray) -> np.ndarray:
     """Most elements in which a set and a similar one in the band differ."""
     p, q = SIMILAR
-    return (q - p) * (size + min(size * q // p, band)) // (q + p)
+    return (q - p) * (sizes + np.minimum(sizes * q // p, band)) // (q + p)
 
 
 def sets_of(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """(text, element) of the distinct shingles of each text, sorted."""
     text, g = shingles(words(as_bytes(column), lower=True), width)
-    order = np.lexsort((g, text))
-    text, g = text[order], g[order]
+    if not len(g):
+        return text, g
+    edges = np.concatenate([[0], np.flatnonzero(text[1:] != text[:-1]) + 1, [len(g)]]).tolist()
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        g[lo:hi].sort()
     keep = np.ones(len(g), bool)
     keep[1:] = (g[1:] != g[:-1]) | (text[1:] != text[:-1])
     return text[keep], g[keep]
@@ -103,30 +121,33 @@ def signatures(text: np.ndarray, g: np.ndarray, sizes: np.ndarray) -> tuple[np.n
     own = bands(sizes)
     p, q = SIMILAR
     texts, sigs = [], []
+    content = mix64(g ^ U(0x1B873593))
     for band, members in ((own, sizes > 0), (2 * own, sizes * q > own * p)):
-        n, m = partitions(band), enumerated(sizes, band)
-        some = members[text]
-        t, e = text[some], g[some]
-        part = mix64(e ^ mix64(band[t].astype(U))) % n[t].astype(U)
-        some = part < m[t].astype(U)
-        t, e, part = t[some], e[some], part[some]
-        where = t.astype(U) << U(32) | part
-        order = np.argsort(where, kind="stable")
-        where, t, e, part = where[order], t[order], e[order], part[order]
-        first = np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(where) else np.zeros(0, np.int64)
-        if len(first):
+        m = np.where(members, enumerated(sizes, band), 0)
+        start = np.cumsum(m) - m  # the first partition of each text among those of all texts
+        cells = (SECOND * partitions(band)).astype(U)
+        cell = (mix64(g ^ mix64(band.astype(U))[text]) % cells[text]).astype(np.int64)
+        some = cell < SECOND * m[text]
+        parts = np.zeros(SECOND * int(m.sum()), U)
+        np.add.at(parts, SECOND * start[text[some]] + cell[some], content[some])
+        parts = parts.reshape(-1, SECOND)
+        owner = np.repeat(np.arange(len(sizes)), m)
+        number = np.arange(len(owner)) - start[owner]
+        # Differences that a partition takes to lose all its nonempty signatures.
+        spoil = np.minimum((parts != 0).sum(axis=1), LOST + 1)
+        before = np.cumsum(spoil) - spoil
+        before -= before[start[owner]]
+        most = np.where(band <= FULL_BAND, differences(sizes, band), 1 << 40)
+        short = (band <= FULL_BAND) & (np.bincount(owner, weights=spoil, minlength=len(sizes)) <= most)
+        signed = np.flatnonzero(before <= most[owner])
+        for k, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
+            x, y, t = parts[signed, a], parts[signed, b], owner[signed]
+            use = (x != 0) | (y != 0) | short[t]
+            x, y, t, i = x[use], y[use], t[use], number[signed][use]
+            tag = mix64(band[t].astype(U) << U(32) | (SECOND * i + k).astype(U))
             with np.errstate(over="ignore"):
-                content = np.add.reduceat(mix64(e ^ U(0x1B873593)), first)
-            texts.append(t[first])
-            sigs.append(mix64(content ^ mix64(band[t[first]].astype(U) << U(32) | part[first])))
-        signed = np.bincount(t[first], minlength=len(sizes))
-        for i in np.flatnonzero(members & (band <= FULL_BAND) & (signed < 48)).tolist():
-            if signed[i] <= differences(int(sizes[i]), int(band[i])):
-                empty = np.setdiff1d(np.arange(int(n[i])), part[first][t[first] == i].astype(np.int64))
-                texts.append(np.full(len(empty), i))
-                sigs.append(mix64(mix64(U(band[i]) << U(32) | empty.astype(U)) ^ U(0xE3779)))
-    if not texts:
-        return np.zeros(0, np.int64), np.zeros(0, U)
+                texts.append(t)
+                sigs.append(mix64((x + mix64(y ^ U(0xE3779))) ^ tag))
     t, s = np.concatenate(texts), np.concatenate(sigs)
     order = np.argsort(t, kind="stable")
     return t[order], s[order]
@@ -134,11 +155,9 @@ def signatures(text: np.ndarray, g: np.ndarray, sizes: np.ndarray) -> tuple[np.n
 
 def sketches(text: np.ndarray, g: np.ndarray, n: int) -> list[bytes]:
     """The least VALUES distinct 16-bit hashes of each set, in order."""
-    pair = np.unique(text.astype(U) << U(16) | mix64(g ^ U(0xC2B2AE35)) >> U(48))
-    owner = (pair >> U(16)).astype(np.int64)
-    edges = np.searchsorted(owner, np.arange(n + 1))
-    values = (pair & U(0xFFFF)).astype("<u2")
-    return [values[a : min(a + VALUES, b)].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    values = (mix64(g ^ U(0xC2B2AE35)) >> U(48)).astype("<u2")
+    edges = np.searchsorted(text, np.arange(n + 1)).tolist()
+    return [np.unique(values[a:b])[:VALUES].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
 def _least_share(seen: np.ndarray, sizes: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -170,37 +189,52 @@ def _promising(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rb.select([0, 1]).filter(pa.array(keep))
 
 
-def promising_in_group(n: np.ndarray, comp: np.ndarray, sketch: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of a group that belong to different components, have similar sizes and may be similar."""
+def promising_in_group(n: np.ndarray, comp: np.ndarray, sketch: list[bytes], side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a group that belong to different components, have similar sizes and may be similar. side: only pairs of rows with different values; rows are in its order."""
     p, q = SIMILAR
     rows = [np.frombuffer(x, "<u2") for x in sketch]
     top = np.array([int(v[-1]) if len(v) == VALUES else 1 << 16 for v in rows])
     flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(v) for v in rows])
-    values, at, times = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = np.flatnonzero(times > 1)
-    column = np.full(len(values), -1)
-    column[shared] = np.arange(len(shared))
-    some = column[at] >= 0
-    edges, at, owner = np.searchsorted(owner[some], np.arange(len(rows) + 1)), column[at][some], owner[some]
-
-    def block(lo: int) -> tuple[np.ndarray, np.ndarray]:
+    times = np.bincount(flat, minlength=1 << 16)
+    column = np.cumsum(times > 1) - 1
+    width = int(column[-1]) + 1
+    some = times[flat] > 1
+    at, owner = column[flat[some]], owner[some]
+    edges = np.searchsorted(owner, np.arange(len(rows) + 1))
+
+    def entries(lo: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of a block, and its (column, row) entries in order of the columns."""
         i = np.arange(lo, min(lo + BLOCK, len(rows)))
-        has = np.zeros((len(i), len(shared)), np.float32)
         mine = slice(edges[lo], edges[i[-1] + 1])
-        has[owner[mine] - lo, at[mine]] = 1
-        return i, has
+        order = np.argsort(at[mine], kind="stable")
+        return i, at[mine][order], owner[mine][order] - lo
+
+    def dense(block: tuple[np.ndarray, np.ndarray, np.ndarray], lo: int) -> np.ndarray:
+        i, c, r = block
+        a, b = np.searchsorted(c, (lo, lo + COLUMNS))
+        has = np.zeros((len(i), min(COLUMNS, width - lo)), np.float32)
+        has[r[a:b], c[a:b] - lo] = 1
+        return has
 
     for lo in range(0, len(rows), BLOCK):
-        i, has = block(lo)
+        here = entries(lo)
+        i = here[0]
         for over in range(lo, len(rows), BLOCK):
-            j, others = (i, has) if over == lo else block(over)
-            common = has @ others.T
+            there = here if over == lo else entries(over)
+            j = there[0]
+            hit = (j[None, :] > i[:, None]) & (comp[i][:, None] != comp[j][None, :])
+            if side is not None:
+                hit &= side[i][:, None] != side[j][None, :]
+            hit &= np.minimum(n[i][:, None], n[j][None, :]) * q >= np.maximum(n[i][:, None], n[j][None, :]) * p
+            if not hit.any():
+                continue
+            common = np.zeros((len(i), len(j)), np.float32)
+            for c in range(0, width, COLUMNS):
+                common += dense(here, c) @ dense(there, c).T
             mine = np.stack([np.searchsorted(rows[k], top[j], "right") for k in i])
             theirs = np.stack([np.searchsorted(rows[k], top[i], "right") for k in j], axis=1)
             seen = mine + theirs - common
             whole = np.minimum(top[i][:, None], top[j][None, :]) == 1 << 16
-            hit = (j[None, :] > i[:, None]) & (comp[i][:, None] != comp[j][None, :])
-            hit &= np.minimum(n[i][:, None], n[j][None, :]) * q >= np.maximum(n[i][:, None], n[j][None, :]) * p
             hit &= common >= seen * _least_share(seen, n[i][:, None] + n[j][None, :], whole)
             a, b = np.nonzero(hit)
             if len(a):
@@ -252,23 +286,28 @@ def _similar_sizes(a: str, b: str):
 
 
 def _cross(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by sig: the promising pairs within each signature. A pair leaves only the least signature that its sets share (`sigs` has those of a set's rows, in order)."""
+    """Rows sorted by (sig, one, other, tile): the promising pairs of two tiles of a signature, or within one. A pair leaves only the least signature that its sets share (`sigs` has those of a set's rows, in order)."""
     held: pa.Table | None = None
 
     def first_shared(at: int, a: list[int], b: frozenset[int]) -> bool:
         return next(x for x in a if x in b) == at
 
+    def starts_of(rows: pa.Table) -> np.ndarray:
+        sig, one, other = (rows.column(x).to_numpy() for x in ("sig", "one", "other"))
+        return np.flatnonzero(np.append(True, (sig[1:] != sig[:-1]) | (one[1:] != one[:-1]) | (other[1:] != other[:-1])))
+
     def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        sig, cid, n, comp = (rows.column(x).to_numpy() for x in ("sig", "cid", "n", "comp"))
+        sig, one, other, tile, cid, n, comp = (rows.column(x).to_numpy() for x in ("sig", "one", "other", "tile", "cid", "n", "comp"))
         sketch, own = rows.column("sketch").to_pylist(), rows.column("sigs")
-        starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        starts = starts_of(rows)
         out: tuple[list[int], list[int]] = ([], [])
         for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(sig)], strict=True):
             if hi - lo < 2:
                 continue
             lists: dict[int, list[int]] = {}
             sets: dict[int, frozenset[int]] = {}
-            for i, j in promising_in_group(n[lo:hi], comp[lo:hi], sketch[lo:hi]):
+            side = tile[lo:hi] if one[lo] != other[lo] else None
+            for i, j in promising_in_group(n[lo:hi], comp[lo:hi], sketch[lo:hi], side):
                 for x, y in zip(i.tolist(), j.tolist(), strict=True):
                     for z in (x, y):
                         if z not in lists:
@@ -287,8 +326,7 @@ def _cross(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = pa.concat_tables([held, rows])
         if not rows.num_rows:
             continue
-        sig = rows.column("sig").to_numpy()
-        last = int(np.searchsorted(sig, sig[-1]))
+        last = int(starts_of(rows)[-1])
         held = rows.slice(last)
         if last:
             yield from pairs(rows.slice(0, last))
@@ -296,6 +334,16 @@ def _cross(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pairs(held)
 
 
+def _tiled(rest: DataFrame) -> DataFrame:
+    """Rows of signatures as often as they have tiles: with each tile of their signature, and with their own."""
+    sizes = rest.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    # A large signature's rows meet one count a signature, no rows of each other.
+    rows = rest.join(sizes.where("tiles > 1"), "sig", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return rows.select("sig", F.least("tile", "with").alias("one"), F.greatest("tile", "with").alias("other"), "tile", "cid", "n", "comp")
+
+
 def _verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (a, chunk, b, body) with a leader's own row (b is null) before its followers: the pairs that are similar."""
     p, q = SIMILAR
@@ -359,12 +407,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, n_shingles, k1, k2, component_id): link() with the keys of the sets."""
-    small_batches(docs.sparkSession)
-    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("body"))
-    signed = written(plain.mapInArrow(_sign, "doc_id long, n long, k1 long, k2 long, signs array<long>, sketch binary"), "signs")
+    spark, root = docs.sparkSession, scratch(docs.sparkSession, "near-dup")
+    small_batches(spark)
+    written = lambda df, name: written_at(df, f"{root}/{name}")
+    kind = docs.schema[id_col].dataType.simpleString()
+    plain = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("body"))
+    signed = written(plain.mapInArrow(_sign, f"doc_id {kind}, n long, k1 long, k2 long, signs array<long>, sketch binary"), "signs")
     classes = signed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("signs").alias("signs"), F.first("sketch").alias("sketch"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = classes.select(F.explode("signs").alias("sig"), "cid", "n").repartition(parts, "sig").sortWithinPartitions("sig", "cid")
     groups = written(rows.mapInArrow(_groups, "sig long, cid long, n long, least long, least_n long"), "groups")
 
@@ -385,8 +436,9 @@ def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     if not mixed.isEmpty():
         rest = cut(labelled.join(mixed, "sig").select("sig", "cid", "n", "comp"))
         lists = rest.groupBy("cid").agg(F.sort_array(F.collect_list("sig")).alias("sigs"))  # as many as a set signs, at most
-        rest = rest.join(sketch_of.join(lists, "cid"), "cid").select("sig", "cid", "n", "comp", "sketch", "sigs")
-        more = rest.repartition(parts, "sig").sortWithinPartitions("sig", "cid").mapInArrow(_cross, "a long, b long").distinct()
+        tiled = _tiled(rest).join(sketch_of.join(lists, "cid"), "cid").select("sig", "one", "other", "tile", "cid", "n", "comp", "sketch", "sigs")
+        tiled = tiled.repartition(parts, "sig", "one", "other").sortWithinPartitions("sig", "one", "other", "tile", "cid")
+        more = tiled.mapInArrow(_cross, "a long, b long").distinct()
         more = cut(more.join(star, ["a", "b"], "left_anti"))
         edges = cut(edges.unionByName(verified(more, bodies)))
         labels = components(edges)
@@ -396,7 +448,9 @@ def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     named = named.join(least, "comp").select("k1", "k2", "component_id")
     full = signed.where("n > 0").join(named, ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2", "component_id")
     empty = signed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2", F.col("doc_id").alias("component_id"))
-    return full.unionByName(empty)
+    out = cut(full.unionByName(empty))
+    drop(spark, root)
+    return out
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -405,7 +459,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     Words are runs of bytes outside ASCII white space, with A-Z lower-cased. A set has the distinct shingles of WIDTH words;
     with fewer words, the whole sequence as one; a null text, or one without words, has an empty set, is linked
     with nothing, and is a component of its own id. Documents with equal sets are linked. component_id is the
-    least id of the component; null ids are least only where there is no other. Repeated rows get a row each, whatever their
+    least id of the component, in the order of the ids' type, which may be any that has one; null ids are least only where there is no other. Repeated rows get a row each, whatever their
     ids. Very long texts are compared whole. An empty table gives no rows.
     """
     return _linked(docs, id_col, text_col).select("doc_id", "n_shingles", "component_id")
@@ -434,7 +488,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     plain = docs.toDF(*[f"x{i}" for i in range(len(columns))])
     schema = ", ".join(f"x{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields)) + ", n long, k1 long, k2 long"
     keyed = plain.mapInArrow(_keyed(columns.index(text_col)), schema)
-    the_id = F.col(f"x{columns.index(id_col)}").cast("long")
+    the_id = F.col(f"x{columns.index(id_col)}")
     full = keyed.where("n > 0").join(chosen, the_id.eqNullSafe(chosen["doc_id"]) & (keyed["k1"] == chosen["k1"]) & (keyed["k2"] == chosen["k2"]), "left_semi")
     kept = full.dropDuplicates([f"x{columns.index(id_col)}", "k1", "k2"]).unionByName(keyed.where("n = 0"))
     return kept.drop("n", "k1", "k2").toDF(*columns)

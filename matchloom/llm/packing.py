@@ -38,7 +38,10 @@ SCHEMA = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens lon
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """An encoder for the byte-level BPE of a tokenizers JSON file: the file's vocabulary and split rule, run by tiktoken, which is several times faster. Strings of special tokens are ordinary text. Its ids are those of the tokenizers library (tested)."""
+    """A function from a text to its ids, by the byte-level BPE of a tokenizers JSON file: the file's vocabulary and split rule, run by tiktoken, which is several times faster.
+
+    A special token's string in a text is that token, as in the tokenizers library by default: its ids are the library's (tested). Special
+    tokens whose flags take in white space or whole words only are not written that way, and are refused."""
     import public_tokenizers
     import tiktoken
 
@@ -47,9 +50,18 @@ def encoder(path: str):
     # Byte-level BPE writes each byte as a printable character: those that print stand for themselves, the others follow from 256 on.
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-    special = {x["content"] for x in spec["added_tokens"]}
+    if any(x.get(flag) for x in spec["added_tokens"] for flag in ("lstrip", "rstrip", "single_word")):
+        raise ValueError("a special token with lstrip, rstrip or single_word")
+    special = {x["content"]: x["id"] for x in spec["added_tokens"]}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    bpe = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    def encode(text: str) -> list[int]:
+        if any(x in text for x in special):
+            return bpe.encode(text, allowed_special="all")
+        return bpe.encode_ordinary(text)
+
+    return encode
 
 
 def place(rests: np.ndarray, length: int = LENGTH) -> list[tuple[int, int, int, int, int]]:
@@ -108,7 +120,7 @@ def pack_chunk(docs: list[tuple[object, np.ndarray]], first_sequence: int, lengt
 
 def _pack(path: str, length: int, kind: pa.DataType):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, first = encoder(path).encode_ordinary, TaskContext.get().partitionId() << 32
+        encode, first = encoder(path), TaskContext.get().partitionId() << 32
         chunk: list[tuple[object, np.ndarray]] = []
         held = 0
 

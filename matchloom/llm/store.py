@@ -45,7 +45,11 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of a wide table: written once as Parquet into the shared folder and read back."""
-    path = scratch(df.sparkSession, name)
+    return written_at(df, scratch(df.sparkSession, name))
+
+
+def written_at(df: DataFrame, path: str) -> DataFrame:
+    """The same at a path of the caller's, who removes it when nothing reads it any more."""
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -135,6 +135,9 @@ def ngrams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of all runs of n words, in order of the texts; a text with fewer words, but at least one, has one run of them all."""
     _, text, g = ngrams(w, n)
+    few = np.bincount(w.text)
+    if not ((few > 0) & (few < n)).any():
+        return text, g
     for m in range(1, n):
         first, whole, h = ngrams(w, m)
         few = np.flatnonzero(np.bincount(w.text, minlength=1)[whole] == m) if len(whole) else first

@@ -96,6 +96,16 @@ def test_line_dedup(docs):
     assert set(docs.columns) - {"text"} <= set(got[0].asDict())
 
 
+def test_line_dedup_with_clashing_names(docs):
+    clash = docs.withColumnRenamed("body", "kept").withColumnRenamed("size", "n_lines").withColumnRenamed("bucket", "gone")
+    out = line_dedup.dedup_lines(clash)
+    assert out.columns == [c for c in clash.columns if c != "text"] + ["kept_", "n_lines_", "n_dropped"]
+    assert Counter(r["n_lines_"] for r in out.collect()) == Counter(len((r[1] or "").split("\n")) for r in rows())
+    whole = line_dedup.without_common_lines(clash)
+    assert whole.columns == clash.columns
+    assert Counter(r["n_chars"] for r in whole.collect()) == Counter(None if r["text"] is None else len(r["text"]) for r in whole.collect())
+
+
 def near_brute(data):
     sets = []
     for r in data:
@@ -141,16 +151,58 @@ def test_near_duplicates_by_a_common_passage_only(spark):
     assert {r["component_id"] for r in got} == {0}
 
 
-def test_packing(docs):
+def test_similar_sets_share_a_signature():
+    """Bands up to FULL_BAND are exact: pairs of the least similarity, of all sizes, whatever the elements."""
+    rng = np.random.default_rng(0)
+    for size in range(1, near_dup.FULL_BAND + 1):
+        for other in {size, -(-3 * size // 4), size * 4 // 3, int(rng.integers(-(-3 * size // 4), size * 4 // 3 + 1))}:
+            need = -(-3 * (size + other) // 7)
+            if need > min(size, other):
+                continue
+            a = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+            b = np.concatenate([a[:need], rng.integers(0, 1 << 63, other - need, dtype=np.uint64)])
+            text, sig = near_dup.signatures(np.repeat([0, 1], [size, other]), np.concatenate([a, b]), np.array([size, other]))
+            assert set(sig[text == 0].tolist()) & set(sig[text == 1].tolist()), (size, other)
+
+
+@pytest.mark.parametrize("tile", [16, 2048])
+def test_near_duplicates_in_large_groups(spark, monkeypatch, tile):
+    """150 texts of 100 to 300 shingles around one passage, near the least similarity to each other, in tiles of few rows and in one."""
+    monkeypatch.setattr(near_dup, "TILE", tile)
+    rng = np.random.default_rng(2)
+    passage = [f"s{i}" for i in range(220)]
+    data = [(i, " ".join([*passage[: int(rng.integers(90, 220))], *[f"x{i}-{k}" for k in range(int(rng.integers(0, 60)))]])) for i in range(150)]
+    got = near_dup.link(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == near_brute(data)
+
+
+def test_near_duplicates_by_string_ids(spark):
+    data = [("b", "one two three four five six"), ("a", "one two three four five six"), ("c", "other"), (None, "other")]
+    got = near_dup.link(spark.createDataFrame(data, "doc_id string, text string")).collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter([("b", "a"), ("a", "a"), ("c", "c"), (None, "c")])
+
+
+def test_packing(spark, docs):
+    """Every id of every document, by the tokenizers library as it is, special strings included; full sequences; cost-balanced placement."""
     from tokenizers import Tokenizer
 
+    special = [(900, "a<|endoftext|>b"), (901, "<|endoftext|><|endoftext|> \n<|endoftext"), (902, "x" * 3000 + "<|endoftext|>" + " y" * 5000)]
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    want = Counter((r[0], len(ids := [*t.encode(r[1] or "", add_special_tokens=False).ids, 0]), zlib.crc32(np.array(ids, "<u4").tobytes()) if len(ids) <= 100 else None) for r in rows())
-    got = packing.pack(docs, tokenizer_path()).collect()
-    assert sum(r["length"] for r in got) == sum(n * k for (_, n, _), k in want.items())
-    whole = Counter((r["doc_id"], r["doc_tokens"], r["ids_crc32"]) for r in got if r["length"] == r["doc_tokens"] <= 100)
-    assert not whole - want
+    data = [*[(r[0], r[1]) for r in rows()], *special]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(special, "doc_id long, text string"))
+    got = packing.pack(df, tokenizer_path()).collect()
+    ids = [(i, np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4")) for i, x in data]
+    crc = lambda x, a, n: zlib.crc32(x[a : a + n].tobytes())
+    # Documents with equal ids and lengths are told apart by their crcs: each piece must fit one of them, and pieces must cover all.
+    covered = Counter()
+    for r in got:
+        fits = [k for k, (i, x) in enumerate(ids) if i == r["doc_id"] and len(x) == r["doc_tokens"] and crc(x, r["start"], r["length"]) == r["ids_crc32"]]
+        assert fits
+        covered[str(r["doc_id"]), r["doc_tokens"]] += r["length"]
+    want = Counter()
+    for i, x in ids:
+        want[str(i), len(x)] += len(x)
+    assert covered == want
     by = {}
     for r in got:
         by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
@@ -162,6 +214,37 @@ def test_packing(docs):
         assert at == 1024 or at & (at - 1) == 0
 
 
+def test_placement_by_cost():
+    """Plain Python: descending documents, each to the sequence of least cost with room; what fits nowhere is cut over those of least cost."""
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        rests = rng.integers(0, 64, int(rng.integers(1, 60)))
+        total, length = int(rests.sum()), 64
+        room = [length] * (total // length) + [1 << k for k in reversed(range(7)) if total % length >> k & 1]
+        cost, used, want, late = [0.0] * len(room), [0] * len(room), [], []
+
+        def put(d, a, n, s):
+            want.append((d, a, n, s, used[s]))
+            used[s] += n
+            cost[s] += packing.LINEAR * n + packing.QUADRATIC * n * n
+
+        for d in sorted(range(len(rests)), key=lambda d: -rests[d]):
+            n = int(rests[d])
+            fit = [s for s in range(len(room)) if room[s] - used[s] >= n]
+            if n and fit:
+                put(d, 0, n, min(fit, key=lambda s: (cost[s], s)))
+            elif n:
+                late.append(d)
+        for d in late:
+            a, n = 0, int(rests[d])
+            while n:
+                s = min((s for s in range(len(room)) if used[s] < room[s]), key=lambda s: (cost[s], s))
+                m = min(n, room[s] - used[s])
+                put(d, a, m, s)
+                a, n = a + m, n - m
+        assert packing.place(rests, length) == want
+
+
 def test_warc(spark):
     big = "x" * 999 + "é"
     data = [(1, "http://a/", big), (2, None, big), (3, "http://a b/", "small"), (4, "u", "small"), (None, "n", big), (5, "u", None), (2, "again", big)]
