@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from matchloom.llm import line_dedup, mixing, near_dup, packing, quality, store
 from matchloom.llm.queries import tokenizer_path
@@ -22,10 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that many documents share; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs).withColumnRenamed("kept", "text")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return line_dedup.without_common_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +52,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; what each but the last returns is written to the shared folder and read again."""
+    """All stages over the documents table; what each but the last returns is written to the shared folder, read again, and removed when the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs = store.written(stage(spark, docs, sf_dir), name)
+        path = store.scratch(spark, name)
+        docs = store.written_at(stage(spark, docs, sf_dir), path)
+        if before:
+            store.drop(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
