@@ -286,6 +286,78 @@ def test_quality(docs):
     assert got == want
 
 
+def plain_path(x, tree, forest):
+    node = 0
+    while forest.feature[tree][node] >= 0:
+        node = forest.left[tree][node] + int(x[forest.feature[tree][node]] >= forest.value[tree][node])
+    return float(forest.depth[tree][node])
+
+
+def test_forest_and_threshold():
+    """Path lengths, scores and the threshold against plain Python, row by row and cut by cut."""
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(300, 7)), 1).astype(np.float32)
+    x[:10] += 6
+    forest = quality.grow(x, trees=20, rows=64)
+    got = quality.score(forest, x)
+    c = 2 * (np.log(63) + 0.5772156649) - 2 * 63 / 64
+    for i in range(0, 300, 7):
+        mean = sum(plain_path(x[i], t, forest) for t in range(20)) / 20
+        assert abs(got[i] - 2 ** (-mean / c)) < 1e-6
+    # A tree's leaves hold its own rows: their depths are path lengths plus the mean path of those that share a leaf.
+    for t in range(20):
+        rows_of = [x[(t * 64 + k) % 300] for k in range(64)]
+        leaves = Counter()
+        for r in rows_of:
+            node, depth = 0, 0
+            while forest.feature[t][node] >= 0:
+                node = forest.left[t][node] + int(r[forest.feature[t][node]] >= forest.value[t][node])
+                depth += 1
+            leaves[node, depth] += 1
+        for (node, depth), n in leaves.items():
+            extra = 0 if n == 1 else 1 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+            assert depth <= 6 and abs(forest.depth[t][node] - depth - extra) < 1e-5
+    assert np.median(got[:10]) > np.quantile(got[10:], 0.9)
+    bad = np.zeros(300, bool)
+    bad[:10] = True
+    bad[50] = True
+    cost = lambda cut: 4 * sum(s >= cut and not b for s, b in zip(got, bad, strict=True)) + sum(s < cut and b for s, b in zip(got, bad, strict=True))
+    cut = quality.calibrate(got, bad)
+    assert cost(cut) == min(cost(v) for v in [*got, np.inf])
+    assert quality.calibrate(got, np.zeros(300, bool)) == float("inf")
+
+
+def test_quality_verdicts(spark):
+    """kept is what the forest and the threshold say of each text, on ties, nulls and repeats; reruns in another order fit the same rules."""
+    rng = np.random.default_rng(6)
+    good = [" ".join(rng.choice([f"word{i}" for i in range(200)], int(rng.integers(30, 80)))) for _ in range(300)]
+    marks = ["#" * 4, "|", "A!!", "$$", "LOUD", "?!?!", "zzzzzzzzzzzzzzzzzzzz"]
+    junk = [" ".join(marks[k] for k in rng.integers(0, int(rng.integers(2, 8)), int(rng.integers(30, 90)))) + f" {i}" for i in range(12)]
+    data = [(i, t) for i, t in enumerate(good + junk)] + [(500, None), (501, ""), (None, good[0]), (0, good[0]), (0, good[0]), (300, junk[0])]
+    labels = [(i, int(i < 300)) for i in range(0, 312, 2)] + [(0, 1), (0, 1), (None, 0), (302, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int")
+    rules = quality.fit(df.repartition(3), lab)
+    again = quality.fit(df.orderBy("text").repartition(5), lab.orderBy("quality"))
+    assert rules.threshold == again.threshold and all((a == b).all() for a, b in zip(rules.forest[:4], again.forest[:4], strict=True))
+    got = quality.assess(df, rules).collect()
+    assert len(got) == len(data)
+    by_text = dict(zip([t for _, t in data], [None] * len(data), strict=True))
+    for t in by_text:
+        base, x = quality.statistics(pa.array([t], pa.string()))
+        c = 2 * (np.log(rules.forest.rows - 1) + 0.5772156649) - 2 * (rules.forest.rows - 1) / rules.forest.rows
+        mean = sum(plain_path(x[0], k, rules.forest) for k in range(quality.TREES)) / quality.TREES
+        by_text[t] = 2 ** (-mean / c)
+    texts = {i: t for i, t in data}
+    for r in got:
+        s = by_text[texts[r["doc_id"]]]
+        assert abs(r["anomaly"] - s) < 1e-6
+        assert r["kept"] == (not r["base_failed"] and r["anomaly"] < rules.threshold)
+    kept = {r["doc_id"] for r in got if r["kept"]}
+    assert len(kept & set(range(300))) > 285 and len(kept & set(range(300, 312))) < 4 and not kept & {500, 501}
+    assert Counter(map(str, quality.keep(df, rules).collect())) == Counter(str(r) for r in df.collect() if any(g["doc_id"] == r["doc_id"] and g["kept"] for g in got))
+
+
 def test_langid(spark):
     data = [(i, f"der die das und nicht {i}" if i % 2 else f"the and of with not {i}", "de" if i % 2 else "en") for i in range(60)]
     df = spark.createDataFrame([*data, (99, None, None), (98, "123 456", "en")], "doc_id long, text string, lang string")
