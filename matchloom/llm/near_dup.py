@@ -20,7 +20,7 @@ least 16-bit hashes of a set, which is all of them for most sets), which turn aw
 about TURN at most, and then verified on whole texts, by exact intersection and union. First each signature's sets are
 compared with the least of them, which is linear in the number of signatures whatever the size of a group; verified links
 are contracted to components. Then only signatures whose sets still lie in several components are looked at: all pairs of
-different components, in groups of any size. A group is cut into tiles, and each pair of tiles is a task's work of
+different components, in groups of any size, once where several signatures have the same sets. A group is cut into tiles, and each pair of tiles is a task's work of
 its own, so a passage that many documents share costs the square of its sets but never more memory than two tiles.
 Comparing sketches multiplies blocks of bounded height and width in place; only promising pairs leave a task.
 """
@@ -336,10 +336,7 @@ def _cross(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _tiled(rest: DataFrame) -> DataFrame:
     """Rows of signatures as often as they have tiles: with each tile of their signature, and with their own."""
-    sizes = rest.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-    # A large signature's rows meet one count a signature, no rows of each other.
-    rows = rest.join(sizes.where("tiles > 1"), "sig", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    rows = rows.withColumn("tile", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int"))
+    rows = rest.withColumn("tile", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     return rows.select("sig", F.least("tile", "with").alias("one"), F.greatest("tile", "with").alias("other"), "tile", "cid", "n", "comp")
 
@@ -373,81 +370,101 @@ def _verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
 
 
+def _merge(df: DataFrame) -> DataFrame:
+    """Sort-merge joins throughout: many small broadcasts would fill the driver."""
+    return df.hint("merge")
+
+
 def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts' sets are similar. A leader with many followers is sent to several tasks."""
     chunks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("k"))
-    dealt = pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("k")).alias("chunk"))
-    dealt = cut(dealt)
-    followers = dealt.join(bodies.withColumnRenamed("cid", "b"), "b").select("a", "chunk", "b", "body")
-    leaders = dealt.select("a", "chunk").distinct().join(bodies.withColumnRenamed("cid", "a"), "a").select("a", "chunk", F.lit(None).cast("long").alias("b"), "body")
+    dealt = cut(pairs.join(_merge(chunks), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("k")).alias("chunk")))
+    followers = dealt.join(_merge(bodies.withColumnRenamed("cid", "b")), "b").select("a", "chunk", "b", "body")
+    leaders = dealt.select("a", "chunk").distinct().join(_merge(bodies.withColumnRenamed("cid", "a")), "a").select("a", "chunk", F.lit(None).cast("long").alias("b"), "body")
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = leaders.unionByName(followers).repartition(parts, "a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
     return rows.mapInArrow(_verify, "a long, b long").distinct()
 
 
+def _renamed(rows: DataFrame, column: str, step: DataFrame) -> DataFrame:
+    """Rows with the column's nodes replaced by those that a step (u, up) names."""
+    others = [c for c in rows.columns if c != column]
+    found = rows.join(_merge(step.toDF("from", "to")), F.col(column) == F.col("from"), "left")
+    return found.select(*others, F.coalesce("to", column).alias(column))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(cid, comp): the least node that each node of the edges (a, b) reaches. Labels are contracted round by round; all of it stays in tables."""
-    nodes = cut(edges.select(F.col("a").alias("cid")).union(edges.select("b")).distinct().select("cid", F.col("cid").alias("comp")))
+    """(cid, comp): the least node that each node of the edges (a, b) reaches. Each round points every node at its least neighbour, goes up four times as far, and contracts the edges; all of it stays in tables."""
+    steps: list[DataFrame] = []
     while True:
-        both = edges.union(edges.select("b", "a")).toDF("u", "v")
-        step = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("up"))
-        for _ in range(2):  # go up twice as far each time
-            step = cut(step)
-            s, t = step.alias("s"), step.alias("t")
-            step = s.join(t, F.col("s.up") == F.col("t.u"), "left").select(F.col("s.u").alias("u"), F.coalesce("t.up", "s.up").alias("up"))
-        step = cut(step)
-        nodes = cut(nodes.join(step, nodes["comp"] == step["u"], "left").select("cid", F.coalesce("up", "comp").alias("comp")))
-        up = step.toDF("x", "y")
-        edges = edges.join(up, edges["a"] == up["x"]).select(F.col("y").alias("a"), "b")
-        edges = edges.join(up, edges["b"] == up["x"]).select("a", F.col("y").alias("b")).where("a <> b")
+        both = edges.select("a", "b").union(edges.select("b", "a")).toDF("u", "v")
+        step = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("up")))
+        twice = _renamed(step, "up", step).select("u", "up")
+        steps.append(cut(_renamed(twice, "up", twice).select("u", "up")))
+        edges = _renamed(_renamed(edges, "a", steps[-1]), "b", steps[-1]).where("a <> b")
         edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if edges.isEmpty():
-            return nodes
+            break
+    nodes = steps[0].toDF("cid", "comp")
+    for step in steps[1:]:
+        nodes = _renamed(nodes, "comp", step)
+    return cut(nodes.select("cid", "comp"))
 
 
 def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2, component_id): link() with the keys of the sets."""
+    """(doc_id, n_shingles, k1, k2, component_id): link() with the keys of the sets. Tables go as soon as nothing reads them."""
     spark, root = docs.sparkSession, scratch(docs.sparkSession, "near-dup")
     small_batches(spark)
     written = lambda df, name: written_at(df, f"{root}/{name}")
+    gone = lambda name: drop(spark, f"{root}/{name}")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[id_col].dataType.simpleString()
     plain = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("body"))
     signed = written(plain.mapInArrow(_sign, f"doc_id {kind}, n long, k1 long, k2 long, signs array<long>, sketch binary"), "signs")
+    keys = written(signed.select("doc_id", "n", "k1", "k2"), "keys")
     classes = signed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("signs").alias("signs"), F.first("sketch").alias("sketch"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    gone("signs")
+    known = written(classes.drop("signs"), "known")
     rows = classes.select(F.explode("signs").alias("sig"), "cid", "n").repartition(parts, "sig").sortWithinPartitions("sig", "cid")
     groups = written(rows.mapInArrow(_groups, "sig long, cid long, n long, least long, least_n long"), "groups")
+    gone("classes")
 
     star = groups.where((F.col("cid") != F.col("least")) & _similar_sizes("n", "least_n"))
     star = star.select(F.col("least").alias("a"), F.col("cid").alias("b"), (F.col("n") + F.col("least_n")).alias("n")).distinct()
-    sketch_of = classes.select("cid", "sketch")
-    star = star.join(sketch_of.toDF("a", "x"), "a").join(sketch_of.toDF("b", "y"), "b").select("a", "b", "n", "x", "y")
+    sketch_of = known.select("cid", "sketch")
+    star = star.join(_merge(sketch_of.toDF("a", "x")), "a").join(_merge(sketch_of.toDF("b", "y")), "b").select("a", "b", "n", "x", "y")
     star = cut(star.mapInArrow(_promising, "a long, b long"))
     # Texts of the sets that have any candidate: classes are found in the documents by their least id and their key.
-    asked = groups.select("cid").distinct().join(classes.select("cid", "rep", "k1", "k2"), "cid")
-    found = plain.join(asked, plain["doc_id"].eqNullSafe(asked["rep"])).select("cid", "k1", "k2", "body")
+    asked = groups.select("cid").distinct().join(_merge(known.select("cid", "rep", "k1", "k2")), "cid")
+    found = plain.join(_merge(asked), plain["doc_id"].eqNullSafe(asked["rep"])).select("cid", "k1", "k2", "body")
     bodies = written(found.mapInArrow(_own, "cid long, body string"), "bodies")
-    edges = cut(verified(star, bodies))
-    labels = components(edges)
+    labels = components(cut(verified(star, bodies)))
 
-    labelled = groups.join(labels, "cid", "left").select("sig", "cid", "n", F.coalesce("comp", "cid").alias("comp"))
-    mixed = cut(labelled.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig"))
+    labelled = groups.join(_merge(labels), "cid", "left").select("sig", "cid", "n", F.coalesce("comp", "cid").alias("comp"))
+    # Signatures of a common passage mostly have the same sets: of those that do, one is looked at.
+    members = [F.sum(F.xxhash64(F.lit(i), "cid").cast("decimal(38,0)")).alias(f"h{i}") for i in range(2)]
+    mixed = labelled.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("sets"), *members).where("lo <> hi")
+    mixed = cut(mixed.groupBy("sets", "h0", "h1").agg(F.min("sig").alias("sig"), F.first("sets").alias("k")).select("sig", F.ceil(F.col("k") / TILE).cast("int").alias("tiles")))
     if not mixed.isEmpty():
-        rest = cut(labelled.join(mixed, "sig").select("sig", "cid", "n", "comp"))
+        rest = cut(labelled.join(_merge(mixed), "sig").select("sig", "cid", "n", "comp", "tiles"))
         lists = rest.groupBy("cid").agg(F.sort_array(F.collect_list("sig")).alias("sigs"))  # as many as a set signs, at most
-        tiled = _tiled(rest).join(sketch_of.join(lists, "cid"), "cid").select("sig", "one", "other", "tile", "cid", "n", "comp", "sketch", "sigs")
+        tiled = _tiled(rest).join(_merge(sketch_of.join(_merge(lists), "cid")), "cid").select("sig", "one", "other", "tile", "cid", "n", "comp", "sketch", "sigs")
         tiled = tiled.repartition(parts, "sig", "one", "other").sortWithinPartitions("sig", "one", "other", "tile", "cid")
         more = tiled.mapInArrow(_cross, "a long, b long").distinct()
-        more = cut(more.join(star, ["a", "b"], "left_anti"))
-        edges = cut(edges.unionByName(verified(more, bodies)))
-        labels = components(edges)
-
-    named = classes.select("cid", "k1", "k2", "rep").join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        more = cut(verified(cut(more.join(_merge(star), ["a", "b"], "left_anti")), bodies))
+        if not more.isEmpty():
+            # New links join components: they are contracted between the components' labels.
+            between = _renamed(_renamed(more, "a", labels), "b", labels).where("a <> b").select("a", "b")
+            further = components(cut(between)).toDF("u", "up")
+            everyone = known.select("cid").join(_merge(labels), "cid", "left").select("cid", F.coalesce("comp", "cid").alias("comp"))
+            labels = cut(_renamed(everyone, "comp", further).select("cid", "comp"))
+
+    named = known.select("cid", "k1", "k2", "rep").join(_merge(labels), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "comp").select("k1", "k2", "component_id")
-    full = signed.where("n > 0").join(named, ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2", "component_id")
-    empty = signed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2", F.col("doc_id").alias("component_id"))
+    named = named.join(_merge(least), "comp").select("k1", "k2", "component_id")
+    full = keys.where("n > 0").join(_merge(named), ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2", "component_id")
+    empty = keys.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2", F.col("doc_id").alias("component_id"))
     out = cut(full.unionByName(empty))
     drop(spark, root)
     return out
@@ -489,7 +506,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     schema = ", ".join(f"x{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields)) + ", n long, k1 long, k2 long"
     keyed = plain.mapInArrow(_keyed(columns.index(text_col)), schema)
     the_id = F.col(f"x{columns.index(id_col)}")
-    full = keyed.where("n > 0").join(chosen, the_id.eqNullSafe(chosen["doc_id"]) & (keyed["k1"] == chosen["k1"]) & (keyed["k2"] == chosen["k2"]), "left_semi")
+    full = keyed.where("n > 0").join(_merge(chosen), the_id.eqNullSafe(chosen["doc_id"]) & (keyed["k1"] == chosen["k1"]) & (keyed["k2"] == chosen["k2"]), "left_semi")
     kept = full.dropDuplicates([f"x{columns.index(id_col)}", "k1", "k2"]).unionByName(keyed.where("n = 0"))
     return kept.drop("n", "k1", "k2").toDF(*columns)
 
