@@ -8,7 +8,8 @@ chroma AC in one, each with one bit left over, then refinements of that bit for
 Reading: scans of any progressive script (spectral selection and successive approximation, any Huffman tables) are
 accumulated into coefficient arrays by the general decoder; scans whose codes all have the same length, such as the
 ones written here, take a vectorised path that gives the same arrays (tested). Coefficients go through an inverse
-transform in numpy, chroma is upsampled, and the result is an RGB tensor of full resolution.
+transform in numpy, chroma is upsampled, and the result is an RGB tensor of full resolution. features() returns the tensors as a
+column beside the digests of the payload, and computes its feature from their bytes, so whoever writes its rows stores them.
 """
 
 from __future__ import annotations
@@ -137,7 +138,7 @@ def encode(data: bytes) -> bytes:
     rows = -(-units // cols)
     m = rows * cols
     if 16 * max(rows, cols) > 65535:
-        raise ValueError("a text beyond 1.6 GB does not fit one image")
+        raise ValueError("a text beyond 6 GB, three times what a row of Spark's holds, does not fit one image")
     b = np.zeros(6 * m * UNIT, np.uint8)
     b[: len(data)] = np.frombuffer(data, np.uint8)
     b = b.reshape(-1, UNIT)
@@ -453,28 +454,35 @@ def _encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(media, pa.binary())], ["doc_id", "media"])
 
 
+#: Bytes of tensors of a batch that goes back to Spark; one row at least.
+BATCH_BYTES = 8 << 20
+
+
 def _features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "height", "width", "rgb"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary()]
     for rb in it:
-        rows = []
-        for cell in rb.column(1):
-            media = cell.as_py()
+        rows, held, first = [], 0, 0
+
+        def batch(end: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([rb.column(0).slice(first, end - first), *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], ["doc_id", *names])
+
+        for i in range(rb.num_rows):
+            media = rb.column(1)[i].as_py()
             image = read(media)
             body, n = payload(image)
-            pixels = rgb(image)
-            mean = pixels.reshape(-1, 3).mean(axis=0, dtype=np.float64)
-            feature = f"{image.height}x{image.width}:" + ",".join(f"{x:.2f}" for x in mean)
-            rows.append((n, len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-        columns = list(zip(*rows, strict=True)) or [()] * 7
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([rb.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names)
+            tensor = rgb(image).tobytes()
+            rows.append((n, len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(tensor, image.height, image.width), image.height, image.width, tensor))
+            held += len(tensor)
+            if held >= BATCH_BYTES or i == rb.num_rows - 1:
+                yield batch(i + 1)
+                rows, held, first = [], 0, i + 1
 
 
-def _tensors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rb in it:
-        for i in range(rb.num_rows):  # a tensor is three times its image; one at a time
-            x = rgb(read(rb.column(1)[i].as_py()))
-            yield pa.RecordBatch.from_arrays([rb.column(0).slice(i, 1), pa.array([x.shape[0]], pa.int32()), pa.array([x.shape[1]], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["doc_id", "height", "width", "rgb"])
+def feature(tensor: bytes, height: int, width: int) -> str:
+    """Size and mean of each colour of a stored tensor."""
+    mean = np.frombuffer(tensor, np.uint8).reshape(height, width, 3).reshape(-1, 3).mean(axis=0, dtype=np.float64)
+    return f"{height}x{width}:" + ",".join(f"{x:.2f}" for x in mean)
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -484,15 +492,10 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("body")).mapInArrow(_encode, f"doc_id {kind}, media binary")
 
 
-def tensors(media: DataFrame) -> DataFrame:
-    """(id, height, width, rgb): full-resolution RGB tensors of (doc_id, media) rows, row by row, three bytes a pixel."""
-    return media.mapInArrow(_tensors, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, height int, width int, rgb binary")
-
-
 def features(media: DataFrame) -> DataFrame:
-    """Digests of the payload read back from each image and a feature of its pixels: size and mean of each colour."""
+    """One row an image of (doc_id, media): digests of the payload read back from it, its full-resolution RGB tensor (rgb, height * width * 3 bytes, row by row) and a feature of the tensor's bytes: size and mean of each colour."""
     kind = media.schema["doc_id"].dataType.simpleString()
-    return media.mapInArrow(_features, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(_features, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, height int, width int, rgb binary")
 
 
 def stored_features(docs: DataFrame) -> DataFrame:

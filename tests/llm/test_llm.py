@@ -286,6 +286,50 @@ def test_quality(docs):
     assert got == want
 
 
+def plain_rgb(image):
+    """Independent decoding: each sample as the double sum of cosines, nearest chroma, colour conversion, pixel by pixel."""
+    zigzag = []
+    for d in range(15):
+        cells = [(r, d - r) for r in range(8) if 0 <= d - r < 8]
+        zigzag += cells if d % 2 else cells[::-1]
+    c = lambda u: np.sqrt(0.5) if u == 0 else 1.0
+    x = np.arange(8)
+    planes = []
+    for blocks in image.coefficients:
+        rows, cols = blocks.shape[:2]
+        plane = np.zeros((rows * 8, cols * 8))
+        for r in range(rows):
+            for k in range(cols):
+                cell = np.zeros((8, 8))
+                for (v, u), value in zip(zigzag, blocks[r, k], strict=True):
+                    cell += value * c(u) * c(v) / 4 * np.cos((2 * x[:, None] + 1) * v * np.pi / 16) * np.cos((2 * x[None, :] + 1) * u * np.pi / 16)
+                plane[8 * r : 8 * r + 8, 8 * k : 8 * k + 8] = np.clip(np.round(cell + 128), 0, 255)
+        planes.append(plane)
+    out = np.zeros((image.height, image.width, 3))
+    for i in range(image.height):
+        for j in range(image.width):
+            y, cb, cr = planes[0][i, j], planes[1][i // 2, j // 2] - 128, planes[2][i // 2, j // 2] - 128
+            out[i, j] = np.clip([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], 0, 255)
+    return out
+
+
+def test_media_tensors(spark):
+    """Stored tensors of odd sizes, nulls, repeats and a long text against the independent decoder; the feature against the tensor."""
+    rng = np.random.default_rng(8)
+    texts = [None, "", "a", "é" * 40, "x" * 64, "".join(map(chr, rng.integers(32, 500, 900))), "a", "word " * 30_000]
+    df = spark.createDataFrame([(i, t, b"x", 1) for i, t in enumerate(texts)], "doc_id long, text string, rgb binary, height int")
+    got = {r["doc_id"]: r for r in media.stored_features(df).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        r, one = got[i], media.encode((t or "").encode())
+        pixels = np.frombuffer(r["rgb"], np.uint8).reshape(r["height"], r["width"], 3)
+        assert r["feature"] == f"{r['height']}x{r['width']}:" + ",".join(f"{v:.2f}" for v in pixels.reshape(-1, 3).mean(axis=0))
+        assert r["media_sha256"] == hashlib.sha256(one).hexdigest() and r["media_bytes"] == len(one)
+        if len(one) < 5000:
+            assert np.abs(plain_rgb(media.read(one, fast=False)) - pixels).max() <= 1.01
+    assert got[2]["rgb"] == got[6]["rgb"]
+
+
 def plain_path(x, tree, forest):
     node = 0
     while forest.feature[tree][node] >= 0:
@@ -358,11 +402,66 @@ def test_quality_verdicts(spark):
     assert Counter(map(str, quality.keep(df, rules).collect())) == Counter(str(r) for r in df.collect() if any(g["doc_id"] == r["doc_id"] and g["kept"] for g in got))
 
 
+class PlainPPM:
+    """One language's context tree in plain Python."""
+
+    def __init__(self, texts, order):
+        self.order, self.tree = order, {}
+        for t in texts:
+            b = b" " * order + t.encode()
+            for i in range(order, len(b)):
+                for k in range(order + 1):
+                    self.tree.setdefault(b[i - k : i], Counter())[b[i]] += 1
+
+    def bits(self, text):
+        b, total = b" " * self.order + text.encode(), 0.0
+        for i in range(self.order, len(b)):
+            for k in range(self.order, -1, -1):
+                seen = self.tree.get(b[i - k : i])
+                if not seen:
+                    continue
+                n = sum(seen.values()) + len(seen)
+                if seen[b[i]]:
+                    total -= np.log2(seen[b[i]] / n)
+                    break
+                total -= np.log2(len(seen) / n)
+            else:
+                total += 8
+        return total
+
+
+def test_code_lengths(spark, monkeypatch):
+    """Exact code lengths of trained and unseen texts under each language's tree, over pieces of any length."""
+    monkeypatch.setattr(langid, "LOOKUP", 37)
+    train = {"de": ["der die das und nicht", "daß über\nStraße", "", "a"], "en": ["the and of with not", "thé the the", "zz"], "ja": ["日本語の文"]}
+    data = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang, ts in train.items() for t in ts)]
+    model = langid.train(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    assert model.languages == sorted(train) and model.order == 4
+    texts = [*[t for _, t, _ in data], "quite unseen 123 \x00 \u00ff words", "dér", "日本 the der", "x" * 300, " "]
+    packed = langid.as_bytes(pa.array(texts))
+    got = langid.code_lengths(model, *packed)
+    for i, lang in enumerate(model.languages):
+        plain = PlainPPM(train[lang], 4)
+        for j, t in enumerate(texts):
+            assert abs(got[j, i] - plain.bits(t)) < 1e-3, (lang, t)
+
+
 def test_langid(spark):
-    data = [(i, f"der die das und nicht {i}" if i % 2 else f"the and of with not {i}", "de" if i % 2 else "en") for i in range(60)]
-    df = spark.createDataFrame([*data, (99, None, None), (98, "123 456", "en")], "doc_id long, text string, lang string")
-    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(df, langid.train(df)).collect()}
-    assert all(got[i][0] == lang for i, _, lang in data) and got[99] == ("und", 0.0) and got[98][0] == "und"
+    """Accuracy on documents that were not trained on, and rows of all kinds."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = langid.is_held_out(docs["doc_id"])
+    model = langid.train(docs.where(~held))
+    lang = docs.where(held & docs["lang"].isNotNull()).select("doc_id", "lang").collect()
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs.where(held), model).collect()}
+    known = [(r["lang"], got[r["doc_id"]]) for r in lang if got[r["doc_id"]] != "und"]
+    assert len(known) > 100 and sum(a == b for a, b in known) / len(known) > 0.97
+    odd = [(1, None), (2, ""), (3, "123 456 !?"), (None, "the and of"), (4, "the and of"), (4, "the and of"), (5, "the of and " * 200_000)]
+    got = langid.predict(spark.createDataFrame([(*x, "z", 1) for x in odd], "doc_id long, text string, lang_pred string, score int"), model).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in odd)
+    by = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in got}
+    assert by[1] == by[2] == by[3] == ("und", 0.0) and by[4] == by[None] and by[5][1] == 1.0
+    ties = spark.createDataFrame([(1, "aaa", "x"), (2, "aaa", "w"), (3, "aaa", "y")], "doc_id long, text string, lang string")
+    assert {(r["lang_pred"], round(r["score"], 6)) for r in langid.predict(ties, langid.train(ties)).collect()} == {("w", round(1 / 3, 6))}
 
 
 def test_lm_score(docs):
