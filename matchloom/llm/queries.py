@@ -50,7 +50,32 @@ FROM shared
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score(_documents(spark, sf_dir))
+    scored = lm_score.score(_documents(spark, sf_dir))
+    return scored.select("doc_id", "n_words", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("log_score", "per_word")])
+
+
+OP2_SQL = r"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+place AS (SELECT r, unnest(w) AS c, generate_subscripts(w, 1) AS i FROM texts),
+grams AS (SELECT r, i, c, lag(c, 1) OVER o AS b, lag(c, 2) OVER o AS a FROM place WINDOW o AS (PARTITION BY r ORDER BY i)),
+one AS (SELECT c, count(*) AS n FROM grams GROUP BY c),
+two AS (SELECT b, c, count(*) AS n FROM grams WHERE b IS NOT NULL GROUP BY b, c),
+three AS (SELECT a, b, c, count(*) AS n FROM grams WHERE a IS NOT NULL GROUP BY a, b, c),
+every AS (SELECT count(*) AS n FROM place),
+logs AS (
+  SELECT g.r, CASE
+    WHEN three.n >= 2 THEN ln(three.n) - ln(before.n)
+    WHEN two.n >= 2 THEN ln(two.n) - ln(prev.n) + CASE WHEN g.a IS NOT NULL THEN ln(0.4) ELSE 0 END
+    ELSE ln(one.n) - ln(every.n) + CASE WHEN g.a IS NOT NULL THEN 2 WHEN g.b IS NOT NULL THEN 1 ELSE 0 END * ln(0.4) END AS s
+  FROM grams g CROSS JOIN every JOIN one ON one.c = g.c
+  LEFT JOIN one prev ON prev.c = g.b
+  LEFT JOIN two ON two.b = g.b AND two.c = g.c
+  LEFT JOIN two before ON before.b = g.a AND before.c = g.b
+  LEFT JOIN three ON three.a = g.a AND three.b = g.b AND three.c = g.c),
+sums AS (SELECT r, sum(s::DOUBLE) AS s FROM logs GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, round(coalesce(s, 0.0::DOUBLE), 6) + 0.0::DOUBLE AS log_score, round(s / len(w), 6) + 0.0::DOUBLE AS per_word
+FROM texts LEFT JOIN sums USING (r)
+"""
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +165,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pack": op9_pack,
     "op10_warc": op10_warc,
 }
-ORACLES: dict[str, str] = {"op1_mix": OP1_SQL, "op7_line_dedup": OP7_SQL, "op10_warc": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_mix": OP1_SQL, "op2_lm_score": OP2_SQL, "op7_line_dedup": OP7_SQL, "op10_warc": OP10_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -33,6 +33,9 @@ ARCHIVE_BYTES = 64 << 20
 #: Ranges are read together over gaps of at most GAP bytes, up to READ bytes; a task reads stretches of STRETCH bytes.
 GAP, READ, STRETCH = 64 << 10, 8 << 20, 16 << 20
 
+#: Tasks that the copies of a page are dealt over.
+SALTS = 8
+
 ID = "urn:matchloom:page:"
 DATE = "2000-01-01T00:00:00Z"  # records are a function of the page alone
 INDEX = "page_id long, url string, digest string, record_type string, file string, offset long, length long"
@@ -81,9 +84,21 @@ def parse(raw: bytes) -> dict:
     return {"page_id": name(fields["WARC-Record-ID"]), "payload_bytes": n, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": name(refers) if refers else None, "html": payload.decode() if fields["WARC-Type"] == "response" else None}
 
 
+#: Schemes of Hadoop's file systems under the names that Arrow has for them; DBFS is mounted as a folder.
+SCHEMES = {"s3a": "s3://", "s3n": "s3://", "dbfs": "file:///dbfs/"}
+
+
+def filesystem(root: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a folder that Spark names, and its path there."""
+    scheme, colon, rest = root.partition(":")
+    if colon and scheme in SCHEMES:
+        root = SCHEMES[scheme] + rest.lstrip("/")
+    return pa.fs.FileSystem.from_uri(root)
+
+
 def _write(root: str):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pa.fs.FileSystem.from_uri(root)
+        fs, base = filesystem(root)
         task = TaskContext.get()
         out, name, at, part = None, "", 0, 0
         try:
@@ -124,7 +139,10 @@ def write(pages: DataFrame, root: str, min_bytes: int = MIN_BYTES) -> DataFrame:
     # Only counts and ids are gathered by digest here; one row a group of two or more goes on.
     groups = keyed.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("k")).where("k > 1").select("digest", "keeper")
     revisit = F.coalesce(F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.lit(False))
-    rows = keyed.join(groups, "digest", "left").select("page_id", "url", "html", "digest", "keeper", revisit.alias("revisit"))
+    # All copies of a page share a digest: they are dealt over SALTS tasks, and the group's one row is sent to each.
+    keyed = keyed.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = keyed.join(groups, ["digest", "salt"], "left").select("page_id", "url", "html", "digest", "keeper", revisit.alias("revisit"))
     index = rows.mapInArrow(_write(f"{root}/archives"), INDEX)
     index.write.option("compression", "zstd").parquet(f"{root}/index")
     return pages.sparkSession.read.schema(index.schema).parquet(f"{root}/index")
@@ -135,7 +153,7 @@ def _read(root: str, with_html: bool):
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()] + [pa.string()] * with_html
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pa.fs.FileSystem.from_uri(root)
+        fs, base = filesystem(root)
         open_name, handle = None, None
 
         def fetch(name: str, ranges: list[tuple[int, int]]) -> pa.RecordBatch:

@@ -257,6 +257,65 @@ def test_warc(spark):
     assert Counter(map(tuple, got)) == want
 
 
+def test_warc_files(spark, tmp_path):
+    """Very long pages, extra and clashing columns, many copies; every record parsed from its archive by offset and length alone, payloads whole."""
+    long_page = "<p>é" * 400_000
+    data = [(i, f"http://h/{i % 3}", [long_page, "y" * 2000, "z"][i % 3], "f", 1, b"d") for i in range(60)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string, file string, offset int, digest binary").repartition(5)
+    root = str(tmp_path / "warc")
+    index = warc.write(pages, f"file://{root}")
+    rows_of = index.collect()
+    assert len(rows_of) == 60 and {r["page_id"] for r in rows_of} == set(range(60))
+    for r in rows_of:
+        with open(f"{root}/archives/{r['file']}", "rb") as f:
+            f.seek(r["offset"])
+            one = warc.parse(warc.zlib.decompress(f.read(r["length"]), 31))
+        body = data[r["page_id"]][2]
+        assert one["page_id"] == r["page_id"] and one["payload_bytes"] == len(body.encode()) and one["payload_digest"] == hashlib.sha1(body.encode()).hexdigest() == r["digest"]
+        keeper = max(i for i in range(60) if i % 3 == r["page_id"] % 3)
+        if r["page_id"] % 3 == 2 or r["page_id"] == keeper:
+            assert one["record_type"] == "response" and one["html"] == body
+        else:
+            assert (one["record_type"], one["refers_to"]) == ("revisit", keeper)
+    few = warc.read(index.where("page_id < 7"), f"file://{root}").collect()
+    assert {r["page_id"] for r in few} == set(range(7))
+    assert warc.filesystem(f"file://{root}")[1] == root and warc.SCHEMES["s3a"] == "s3://"
+
+
+def test_sharding_against_a_plain_tree(spark):
+    """The tree in plain Python, with changed weights: rows move only into or out of subtrees whose weights change, and shares follow weights."""
+    def unit(name, key):
+        bits = int(hashlib.md5(f"{name}:{key}".encode()).hexdigest()[:12], 16)
+        return -np.log((bits + 0.5) / (1 << 48))
+
+    def plain(key, leaves):
+        live = [x for x in leaves if x.weight > 0]
+        for level in ("region", "rack", "shard"):
+            weights = Counter()
+            for x in live:
+                weights[getattr(x, level)] += x.weight
+            best = min(weights, key=lambda k: unit(f"{level}{k}", key) / weights[k]) if len(weights) > 1 else next(iter(weights))
+            live = [x for x in live if getattr(x, level) == best]
+        return live[0].shard
+
+    even = sharding.topology(8)
+    heavy = [x._replace(weight=4.0) if x.shard == 5 else x for x in even]  # region 1, rack 2
+    none = [x._replace(weight=0.0) if x.shard == 2 else x for x in even]
+    ids = [*range(4000), None]
+    df = spark.createDataFrame([(i, "t") for i in ids], "doc_id long, text string")
+    got = {}
+    for name, leaves in (("even", even), ("heavy", heavy), ("none", none)):
+        got[name] = {r["doc_id"]: r["shard"] for r in sharding.place(df, leaves).collect()}
+        assert got[name] == {i: plain("" if i is None else str(i), leaves) for i in ids}
+    for i in ids:
+        a, b = got["even"][i], got["heavy"][i]
+        # Rows leave a subtree only for one whose weight rose: region 1, in it rack 2, in it shard 5.
+        assert a == b or (a // 4 == 0 and b // 4 == 1) or (a // 2 == 3 and b // 2 == 2) or (a == 4 and b == 5)
+        assert got["none"][i] != 2 and (a == got["none"][i] or a // 4 == 0)
+    share = Counter(got["heavy"].values())
+    assert abs(share[5] / 4000 - 4 / 11) < 0.08
+
+
 def test_media(docs):
     got = media.stored_features(docs).collect()
     want = Counter()
@@ -464,16 +523,31 @@ def test_langid(spark):
     assert {(r["lang_pred"], round(r["score"], 6)) for r in langid.predict(ties, langid.train(ties)).collect()} == {("w", round(1 / 3, 6))}
 
 
-def test_lm_score(docs):
-    toks = [(r[0], WORD.findall(r[1] or "")) for r in rows()]
-    one, two = Counter(x for _, w in toks for x in w), Counter(p for _, w in toks for p in zip(w, w[1:], strict=False))
-    total = sum(one.values())
-    want = []
+def plain_backoff(data, order, least):
+    """Counts and scores of all n-grams in plain Python."""
+    toks = [(i, WORD.findall(t or "")) for i, t in data]
+    counts = [Counter(tuple(w[k : k + n]) for _, w in toks for k in range(len(w) - n + 1)) for n in range(1, order + 1)]
+    total = sum(counts[0].values())
+    out = []
     for i, w in toks:
-        s = sum(np.log(two[w[k - 1], x] / one[w[k - 1]]) if k and two[w[k - 1], x] >= 2 else np.log(one[x] / total) + (np.log(0.4) if k else 0) for k, x in enumerate(w))
-        want.append((str(i), len(w), round(float(s), 6) + 0.0))
-    got = [(str(r["doc_id"]), r["n_words"], round(r["log_score"], 6) + 0.0) for r in lm_score.score(docs).collect()]
-    assert sorted(got) == sorted(want)
+        s = 0.0
+        for k in range(len(w)):
+            longest = min(k + 1, order)
+            for n in range(longest, 0, -1):
+                c = counts[n - 1][tuple(w[k - n + 1 : k + 1])]
+                if c >= (least if n > 1 else 1):
+                    s += np.log(c) - np.log(counts[n - 2][tuple(w[k - n + 1 : k])] if n > 1 else total) + (longest - n) * np.log(0.4)
+                    break
+        out.append((str(i), len(w), round(float(s), 6) + 0.0))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("order", "least", "block"), [(3, 2, 1 << 22), (3, 2, 300), (4, 1, 2000), (1, 1, 300)])
+def test_lm_score(spark, docs, monkeypatch, order, least, block):
+    monkeypatch.setattr(lm_score, "BLOCK", block)
+    got = [(str(r["doc_id"]), r["n_words"], round(r["log_score"], 6) + 0.0) for r in lm_score.score(docs.withColumnRenamed("bucket", "block"), order=order, min_count=least).collect()]
+    assert sorted(got) == plain_backoff([(r[0], r[1]) for r in rows()], order, least)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("blocks_")]
 
 
 def test_pipeline(spark):
