@@ -34,22 +34,79 @@ def to_ascii(s: str | None) -> str:
 
 @F.pandas_udf(StringType())
 def _transliterate(s: pd.Series) -> pd.Series:
-    return s.map(to_ascii)
+    return s.map(to_ascii, na_action="ignore")
+
+
+def _accents() -> dict[str, str]:
+    """Letters of the Latin blocks that are one ASCII letter with marks, by their decomposition."""
+    table = {}
+    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+        base, *marks = unicodedata.normalize("NFKD", chr(code))
+        if base.isascii() and base.isalpha() and marks and all(map(unicodedata.combining, marks)):
+            table[chr(code)] = base
+    return table
+
+
+ACCENTS = _accents()
+
+
+def _translated(c: Column, table: dict[str, str]) -> Column:
+    return F.translate(c, "".join(table), "".join(table.values()))
 
 
 def transliterate(c: Column) -> Column:
-    """ASCII form; only strings with other characters go to Python."""
-    plain = F.coalesce(c, F.lit(""))
-    return F.when(plain.rlike(r"^[\x00-\x7F]*$"), plain).otherwise(_transliterate(plain))
+    """ASCII form. Accents and letters that do not decompose are folded in the JVM; only strings with still other characters go to Python, all others as nulls."""
+    plain, ascii_only = F.coalesce(c, F.lit("")), r"^[\x00-\x7F]*$"
+    one = {k: v for k, v in LETTERS.items() if len(v) == 1}
+    folded = _translated(plain, ACCENTS | one)
+    for k, v in LETTERS.items():
+        if len(v) > 1:
+            folded = F.replace(folded, F.lit(k), F.lit(v))
+    folded = F.when(plain.rlike(ascii_only), plain).otherwise(folded)
+    return F.coalesce(_transliterate(F.when(~folded.rlike(ascii_only), folded)), folded)
 
 
 def clean(c: Column, drop_dots: bool) -> Column:
-    """Lower case, & to and, apostrophes (and dots) deleted, anything but a-z0-9 to single spaces."""
+    """Lower case, & to and, anything but a-z0-9 to single spaces. drop_dots, for names: dots and apostrophes are deleted before, so that l.l.c. is llc; in addresses they part words."""
     c = F.replace(F.lower(c), F.lit("&"), F.lit(" and "))
-    c = F.regexp_replace(c, r"[.'`]" if drop_dots else r"['`]", "")
+    if drop_dots:
+        c = F.regexp_replace(c, r"[.'`]", "")
     return F.trim(F.regexp_replace(c, r"[^a-z0-9]+", " "))
 
 
+def clean_text(text: str | None, drop_dots: bool = False) -> str:
+    """transliterate() and clean() of one string, for tables and settings on the driver."""
+    out = to_ascii(text).lower().replace("&", " and ")
+    out = "".join(c for c in out if not (drop_dots and c in ".'`"))
+    return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in out).split())
+
+
+def normal(c: Column) -> Column:
+    """Plain form that keeps scripts: Latin letters without accents, lower case, & to and, all but letters, marks and digits to single spaces."""
+    bare = F.regexp_replace(_translated(c, ACCENTS), r"(\p{IsLatin})\p{M}+", "$1")
+    return F.trim(F.regexp_replace(F.replace(F.lower(bare), F.lit("&"), F.lit(" and ")), r"[^\p{L}\p{M}\p{N}]+", " "))
+
+
+def plain_ascii(c: Column) -> Column:
+    """transliterate(), then lower case, & to and, all but a-z0-9 to single spaces."""
+    return clean(transliterate(c), False)
+
+
+def raw_name(c: Column) -> Column:
+    """A name as it was written, but for case and blanks."""
+    return F.trim(F.regexp_replace(F.lower(c), "[ \t]+", " "))
+
+
+def text_views(core: Column, city: Column, addr: Column) -> dict[str, Column]:
+    """The three texts that forward searches compare; parts that are null are left out."""
+    return {"name": core, "name_city": F.trim(F.concat_ws(" ", core, city)), "name_addr": F.trim(F.concat_ws(" ", core, F.replace(addr, F.lit(","), F.lit(""))))}
+
+
+def ce_text(core: Column, addr: Column, country: Column) -> Column:
+    """One side of a pair as a second scorer reads it."""
+    return F.concat_ws(" | ", *[F.coalesce(x, F.lit("")) for x in (core, addr, country)])
+
+
 def country_key(c: Column) -> Column:
     return F.lower(F.trim(F.coalesce(c, F.lit(""))))
 

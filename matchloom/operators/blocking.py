@@ -21,16 +21,16 @@ RARE_DF, RARE_LEN = 20, 3
 NONE = "~none"
 
 
-def state_maps(records: DataFrame, key: str) -> DataFrame:
-    """(country, key, map_state): the majority state of each city or departement; ties go to the first state by name."""
+def state_maps(records: DataFrame, key: str, total: int = STATE_TOTAL, share: float = STATE_SHARE) -> DataFrame:
+    """(country, key, map_state, total): the majority state of each city or departement, and its records with a state; ties go to the first state by name."""
     counts = records.where(F.col(key).isNotNull() & F.col("state").isNotNull()).groupBy("country", key, "state").agg(F.count(F.lit(1)).alias("n"))
     best = counts.groupBy("country", key).agg(F.sum("n").alias("total"), F.min(F.struct((-F.col("n")).alias("n"), "state")).alias("best"))
-    return best.where((F.col("total") >= STATE_TOTAL) & (-F.col("best.n") >= STATE_SHARE * F.col("total"))).select("country", key, F.col("best.state").alias("map_state"))
+    return best.where((F.col("total") >= total) & (-F.col("best.n") >= share * F.col("total"))).select("country", key, F.col("best.state").alias("map_state"), "total")
 
 
-def fill_states(records: DataFrame) -> DataFrame:
+def fill_states(records: DataFrame, total: int = STATE_TOTAL, share: float = STATE_SHARE) -> DataFrame:
     """Missing states from the city, then from the departement; state_src says from where."""
-    city, dept = state_maps(records, "city").withColumnRenamed("map_state", "_c"), state_maps(records, "dept").withColumnRenamed("map_state", "_d")
+    city, dept = state_maps(records, "city", total, share).drop("total").withColumnRenamed("map_state", "_c"), state_maps(records, "dept", total, share).drop("total").withColumnRenamed("map_state", "_d")
     out = records.join(city, ["country", "city"], "left").join(dept, ["country", "dept"], "left")
     src = F.when(F.col("state").isNotNull(), "own").when(F.col("_c").isNotNull(), "city").when(F.col("_d").isNotNull(), "dept").otherwise("none")
     return out.withColumn("state_src", src).withColumn("state", F.coalesce("state", "_c", "_d")).drop("_c", "_d")

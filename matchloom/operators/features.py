@@ -22,7 +22,7 @@ CONTEXT = ("f_name_core_tsr", "f_name_core_ratio", "f_name_idf_jacc", "f_addr_ts
 def prepare(records: DataFrame) -> DataFrame:
     """Adds nolegal (full_name without legal words anywhere; core_name if nothing is left) and legal_any (sorted canonical legal words)."""
     key = country_key(F.col("country"))
-    table = lambda c: {k: v for k, v in rules.legal_for(c).items() if k not in rules.LEGAL_TRAILING_ONLY}
+    table = lambda c: {k: v for k, v in rules.LEGAL.get(c, rules.LEGAL[""]).items() if k not in rules.LEGAL_TRAILING_ONLY}
     words = F.filter(F.split("full_name", " "), lambda t: t != "")
     rest = by_country(key, lambda c: F.array_join(F.filter(words, lambda t: lookup(table(c), t).isNull()), " "))
     legal = by_country(key, lambda c: F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(words, lambda t: lookup(table(c), t)), lambda t: t.isNotNull()))), " "))

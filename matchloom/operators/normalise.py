@@ -37,13 +37,13 @@ def names(df: DataFrame, name_col: str = "business_name", country_col: str = "co
     words = lambda make: by_country(key, lambda c: F.array(*[F.lit(x) for x in make(c)]))
     df = df.withColumn("_e", _prepared_name(clean(transliterate(F.col(name_col)), True), key)).withColumn("_t", F.split("_e", " "))
     # At least one token stays behind a leading run.
-    lead = F.least(_run_length(F.col("_t"), words(rules.leading_for)), F.size("_t") - 1)
+    lead = F.least(_run_length(F.col("_t"), words(lambda c: rules.LEADING.get(c, rules.LEADING[""]))), F.size("_t") - 1)
     df = df.withColumn("_lead", F.greatest(lead, F.lit(0)).cast("int"))
     df = df.withColumn("_rest", F.slice("_t", F.col("_lead") + 1, F.size("_t")))
-    df = df.withColumn("_tail", _run_length(F.reverse("_rest"), words(rules.legal_for)).cast("int"))
+    df = df.withColumn("_tail", _run_length(F.reverse("_rest"), words(lambda c: rules.LEGAL.get(c, rules.LEGAL[""]))).cast("int"))
     core = F.array_join(F.slice("_rest", F.lit(1), F.size("_rest") - F.col("_tail")), " ")
     forms = F.concat(F.slice("_t", F.lit(1), F.col("_lead")), F.slice("_rest", F.size("_rest") - F.col("_tail") + 1, F.greatest(F.col("_tail"), F.lit(0))))
-    canonical = by_country(key, lambda c: F.transform(forms, lambda t: F.coalesce(lookup(rules.legal_for(c), t), t)))
+    canonical = by_country(key, lambda c: F.transform(forms, lambda t: F.coalesce(lookup(rules.LEGAL.get(c, rules.LEGAL[""]), t), t)))
     df = df.withColumn("_core", core).withColumn("_legal", F.when(F.col("_e") == "", "").otherwise(F.array_join(F.array_distinct(canonical), " ")))
     df = df.withColumn("_core", F.when(F.col("_legal") != "", F.regexp_replace("_core", r"(?:\s+and)+$", "")).otherwise(F.col("_core")))
     full = F.trim(F.concat_ws(" ", "_core", "_legal"))

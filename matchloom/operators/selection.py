@@ -108,3 +108,10 @@ def robust_choice(scores: dict[str, float], order: tuple[str, ...] = ("C", "B",
     """The first variant, most robust first, that is at most `loss` below the best; the best one if none of them is."""
     best = max(scores, key=lambda k: scores[k])
     return next((v for v in order if v in scores and scores[v] >= scores[best] - loss), best)
+
+
+def set_differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(missing, extra): how many distinct rows of a are not in b, and of b not in a; both are 0 for equal sets."""
+    side = a.select(F.struct(*a.columns).alias("k"), F.lit(1).alias("s")).unionByName(b.toDF(*a.columns).select(F.struct(*a.columns).alias("k"), F.lit(2).alias("s")))
+    sides = side.groupBy("k").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+    return sides.agg(F.count_if(F.col("hi") == 1).alias("missing"), F.count_if(F.col("lo") == 2).alias("extra"))

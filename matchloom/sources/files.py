@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,3 +62,13 @@ def once(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataF
     if not done(spark, path):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def concat_parts(spark: SparkSession, parts: list[str], path: str) -> DataFrame:
+    """The rows of several Parquet tables as one table at `path`; the parts go once it is written to the end. Columns are matched by name; a part that lacks one has nulls there."""
+    tables = [spark.read.parquet(p) for p in parts]
+    reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables).write.mode("overwrite").parquet(path)
+    for p in parts:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return spark.read.parquet(path)

@@ -61,6 +61,30 @@ def validate(lists: DataFrame, s1s: DataFrame, pool: DataFrame) -> DataFrame:
     return out
 
 
+def validate_lines(lines: DataFrame, header: tuple[str, str] = MATCHES) -> DataFrame:
+    """(finding, n) of the raw lines (file, line) of a result file: files without the header line, lines that are not two columns, quoted cells, and cells with blanks at an end. Blank lines don't count."""
+    top, line = "\t".join(header), F.col("line")
+    cells = F.split(line, "\t")
+    rows = lines.where(F.trim(line) != "").withColumn("head", line == top)
+    body = ~F.col("head")
+    marks = {
+        "columns": body & (F.size(cells) != 2), "quoted": body & line.contains('"'),
+        "blanks": body & F.exists(cells, lambda x: x.rlike(r"^\s|\s$") | x.rlike(r"\s,|,\s")),
+    }
+    files = rows.groupBy("file").agg(F.max(F.col("head").cast("int")).alias("h")).agg(F.coalesce(F.sum(1 - F.col("h")), F.lit(0)).cast("long").alias("header"))
+    counts = rows.agg(*[F.coalesce(F.sum(m.cast("long")), F.lit(0)).alias(k) for k, m in marks.items()])
+    cell = lambda df, k: df.select(F.lit(k).alias("finding"), F.col(k).alias("n"))
+    out = cell(files, "header")
+    for k in marks:
+        out = out.unionByName(cell(counts, k))
+    return out
+
+
+def raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line) of a result file or a folder of its parts."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+
+
 def check_subset(matches: DataFrame, candidates: DataFrame) -> None:
     """Raise if a match is not a candidate."""
     if not matches.join(candidates, ["s1", "cand"], "left_anti").isEmpty():
