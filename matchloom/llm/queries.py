@@ -91,6 +91,38 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_documents(spark, sf_dir), sharding.topology(8), sharding.topology(9))
 
 
+def _draws(nodes: list[tuple[str, float]]) -> str:
+    """DuckDB: the number, from 0 on, of the (name, weight) node with the least draw for `key`."""
+    draws = ", ".join(f"-ln((CAST(concat('0x', substring(md5(concat('{name}:', key)), 1, 12)) AS BIGINT) + 0.5::DOUBLE) / {float(1 << 48)!r}::DOUBLE) / {weight!r}::DOUBLE" for name, weight in nodes)
+    return f"list_position([{draws}], list_min([{draws}])) - 1"
+
+
+def _tree_sql(leaves: list[sharding.Leaf]) -> str:
+    """DuckDB: shard of `key`, region by rack by shard."""
+
+    def choose(level: str, under: list[sharding.Leaf]) -> str:
+        if level == "done":
+            return str(under[0].shard)
+        groups = {k: [x for x in under if getattr(x, level) == k] for k in sorted({getattr(x, level) for x in under})}
+        below = {"region": "rack", "rack": "shard", "shard": "done"}[level]
+        if len(groups) == 1:
+            return choose(below, under)
+        cases = " ".join(f"WHEN {i} THEN {choose(below, g)}" for i, g in enumerate(groups.values()))
+        return f"CASE {_draws([(f'{level}{k}', sum(x.weight for x in g)) for k, g in groups.items()])} {cases} END"
+
+    return choose("region", [x for x in leaves if x.weight > 0])
+
+
+# The table of the CRC's bytes follows from its polynomial; a text's CRC is folded over its bytes.
+OP5_SQL = f"""
+WITH crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i::BIGINT], range(8)), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+rows AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id::VARCHAR, '') AS key, octet_length(encode(coalesce(text, '')))::BIGINT AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sums AS (SELECT r, xor(list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(h, '..'), lambda x: CAST(concat('0x', x) AS BIGINT))), lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295) AS text_crc32 FROM rows, crc),
+placed AS (SELECT doc_id, n + 1 AS size, text_crc32, key, ({_tree_sql(sharding.topology(8))})::INT AS shard, ({_tree_sql(sharding.topology(9))})::INT AS grown_shard FROM rows JOIN sums USING (r))
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY substring(md5(key), 1, 3), doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM placed
+"""
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     held_out = langid.is_held_out(F.col("doc_id"))
@@ -165,7 +197,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pack": op9_pack,
     "op10_warc": op10_warc,
 }
-ORACLES: dict[str, str] = {"op1_mix": OP1_SQL, "op2_lm_score": OP2_SQL, "op7_line_dedup": OP7_SQL, "op10_warc": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_mix": OP1_SQL, "op2_lm_score": OP2_SQL, "op5_shard": OP5_SQL, "op7_line_dedup": OP7_SQL, "op10_warc": OP10_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

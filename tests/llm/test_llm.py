@@ -560,3 +560,68 @@ def test_pipeline(spark):
         assert out.columns == docs.columns
         docs = out
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() > 0
+
+
+def test_pipeline_against_plain_stages(spark, docs, tmp_path):
+    """Each stage on nulls, repeats, ties, long texts and clashing columns, against a plain version on what the stage before kept; then run() as a whole."""
+    import corpus_pipeline
+
+    sf = str(tmp_path)
+    docs.write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(5, 1), (6, 1), (None, 0)], "doc_id long, quality int").write.parquet(f"{sf}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    now = spark.read.parquet(f"{sf}/documents.parquet")
+
+    def step(name):
+        nonlocal now
+        before = [tuple(r) for r in now.collect()]
+        now = corpus_pipeline.store.written(stages[name](spark, now, sf), name)
+        assert now.columns == docs.columns
+        return before, [tuple(r) for r in now.collect()]
+
+    before, after = step("quality_rules")  # no bad labels: the base rules alone
+
+    def passes(text):
+        w = WORD.findall(text or "")
+        windows = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        cover = {k for i in range(len(w) - 7) if windows[tuple(w[i : i + 8])] > 1 for k in range(i, i + 8)}
+        return len(w) >= 20 and 100 * len(cover) <= 30 * len(w)
+
+    assert Counter(map(str, after)) == Counter(str(r) for r in before if passes(r[1]))
+    before, after = step("line_dedup")
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(LOWER)
+    often = Counter(k for r in before for k in {key(x) for x in (r[1] or "").split("\n")} if k)
+    text = lambda r: "\n".join(x for x in r[1].split("\n") if often[key(x)] < 10)
+    assert Counter(map(str, after)) == Counter(str((r[0], t := text(r), r[2], r[3], len(t), *r[5:])) for r in before)
+    before, after = step("near_duplicates")
+    groups = Counter(k[2] for k in near_brute(before).elements() if k[1])
+    assert sorted(str(r[0]) for r in after) == sorted(map(str, groups)) and {str(r) for r in after} <= {str(r) for r in before}
+    before, after = step("source_mix")
+    times = Counter(map(str, after))
+    assert set(times) <= {str(r) for r in before} and max(times.values()) <= 3
+    sizes, words = Counter(), Counter()
+    for rows_of, to in ((before, sizes), (after, words)):
+        for r in rows_of:
+            to[r[3]] += len(WORD.findall(r[1]))
+    targets = {r["source"]: r["target"] for r in mixing.mix(spark.createDataFrame(before, docs.schema)).collect()}
+    longest = max(len(WORD.findall(r[1])) for r in before)
+    assert all(abs(words[x] - targets[x]) <= longest for x in sizes)
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    packed = stages["packing"](spark, now, sf).collect()
+    want = Counter(str(r[0]) for r in after for _ in range(len(t.encode(r[1], add_special_tokens=False).ids) + 1))
+    got = Counter()
+    for r in packed:
+        got[str(r["doc_id"])] += r["length"]
+    assert got == want
+    whole = Counter((str(r["doc_id"]), r["start"] == 0, r["doc_tokens"]) for r in corpus_pipeline.run(spark, sf).collect() if r["start"] == 0)
+    assert whole == Counter((str(r["doc_id"]), True, r["doc_tokens"]) for r in packed if r["start"] == 0)
+
+
+def test_pipeline_on_an_empty_table(spark, empty, tmp_path):
+    import corpus_pipeline
+
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
