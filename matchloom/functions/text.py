@@ -171,9 +171,11 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def grams3(c: Column) -> Column:
-    """Distinct character 3-grams of the text padded with a space at both ends; a shorter one is its own gram."""
-    p = F.concat(F.lit(" "), c, F.lit(" "))
-    return F.when(F.length(c) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - 2, F.lit(1))), lambda i: F.substring(p, i, F.lit(3)))))
+    """Distinct character 3-grams of the text padded with a space at both ends. Characters are taken apart once and put together side by side: taking substrings would walk from the start for each."""
+    chars = F.split(F.concat(F.lit(" "), c, F.lit(" ")), "")
+    rest = lambda k: F.slice(chars, k, F.greatest(F.size(chars), F.lit(1)))
+    three = F.zip_with(F.zip_with(chars, rest(2), lambda x, y: F.concat(x, y)), rest(3), lambda x, y: F.concat(x, y))
+    return F.when(F.length(c) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.filter(three, lambda x: x.isNotNull())))
 
 
 def same(a: Column, b: Column) -> Column:

@@ -175,6 +175,7 @@ def build(pairs: DataFrame, records: DataFrame) -> DataFrame:
     total, frequency, names = count_stats(records)
     # Dealt evenly over all tasks: similarities cost far more than a pair's bytes suggest, so neither lists nor sizes should place them.
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df = written(joined(blocking_features(pairs), records, RECORD).repartition(parts, "s1", "cand"), "pairs")
+    # The written table's files are small and would be read by few tasks: pairs are dealt after that.
+    df = written(joined(blocking_features(pairs), records, RECORD), "pairs").repartition(parts, "s1", "cand")
     df = context_features(other_features(frequency_features(idf_features(name_features(df), total, frequency), names)))
     return df.select("s1", "cand", *[F.col(c).cast("float").alias(c) for c in df.columns if c.startswith("f_")])
