@@ -6,6 +6,10 @@ top-k window. Grams in more than MAX_DF of the texts are dropped before the join
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -103,11 +107,55 @@ def to_wide(hits: DataFrame) -> DataFrame:
     return hits.groupBy("scope", "s1", "cand").agg(*cells, F.max(pick("reverse", "best")).alias("best_reverse"))
 
 
-def dense_topk(queries: DataFrame, pool: DataFrame, k: int, bands: int = 16) -> DataFrame:
-    """(s1, cand, score, rank) of (id, embedding): cosine top-k of a stated query set against all rows, in blocks of the pool."""
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    q = queries.select(F.col("id").alias("s1"), F.col("embedding").alias("a"), norm(F.col("embedding")).alias("na"), F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("block"))
-    p = pool.select(F.col("id").alias("cand"), F.col("embedding").alias("b"), norm(F.col("embedding")).alias("nb"), F.pmod(F.xxhash64("id"), F.lit(bands)).cast("int").alias("block"))
-    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    pairs = q.join(p, "block").where("s1 <> cand").select("s1", "cand", F.round(dot / (F.col("na") * F.col("nb")), 6).alias("score"))
-    return ranked(pairs, "s1", k, "cand")
+#: Rows of a tile of vectors: a task holds one tile of queries, one of the pool and their scores (32 MB).
+QUERY_TILE, POOL_TILE = 1024, 4096
+
+
+def _tile_topk(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    def best(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame({"s1": q["id"].to_numpy()[:0], "cand": p["id"].to_numpy()[:0], "score": np.empty(0)})
+        if q.empty or p.empty:
+            return out
+        found, p = [out], p.sort_values("id", kind="stable")
+        unit = lambda df: (v := np.stack(df["vector"].to_numpy()).astype(np.float64)) / np.sqrt((v * v).sum(axis=1, keepdims=True))
+        ids, vectors = p["id"].to_numpy(), unit(p).T
+        for at in range(0, len(q), QUERY_TILE):
+            own = q["id"].to_numpy()[at : at + QUERY_TILE]
+            for low in range(0, len(p), POOL_TILE):
+                cands = ids[low : low + POOL_TILE]
+                exact = unit(q.iloc[at : at + QUERY_TILE]) @ vectors[:, low : low + POOL_TILE]
+                score = np.copysign(np.floor(np.abs(exact) * 1e6 + 0.5) / 1e6, exact) + 0.0
+                score[own[:, None] == cands[None, :]] = -np.inf
+                bar = np.partition(score, -k, axis=1)[:, -k] if k < len(cands) else np.full(len(own), -np.inf)
+                rows, cols = np.nonzero((score >= bar[:, None]) & (score > -np.inf))
+                order = np.lexsort((cols, -score[rows, cols], rows))  # columns go by id, so ties do
+                rows, cols = rows[order], cols[order]
+                place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+                rows, cols = rows[place < k], cols[place < k]
+                found.append(pd.DataFrame({"s1": own[rows], "cand": cands[cols], "score": score[rows, cols]}))
+        return pd.concat(found, ignore_index=True)
+
+    return best
+
+
+def dense_topk(queries: DataFrame, pool: DataFrame, k: int) -> DataFrame:
+    """(s1, cand, score, rank) of (id, embedding): cosine top-k of a stated query set against all rows; ties by the other id.
+
+    Tiles of queries meet tiles of the pool as matrix products, and only the k best of a tile leave its task: rows are queries
+    x tiles x k, not queries x pool. Tiles are dealt by a hash of the id, and their number grows with the tables. Vectors are
+    compared with those of their own length; missing ones, and those of length 0 or with a missing or infinite part, have no
+    candidates and are none.
+    """
+    whole = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
+
+    def dealt(df: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
+        tiles = -(-max(df.count(), 1) // size)
+        return df.where(F.col("id").isNotNull() & whole).select("id", F.col("embedding").alias("vector"), F.size("embedding").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int").alias(name)), tiles
+
+    (q, q_tiles), (p, p_tiles) = dealt(queries, QUERY_TILE, "qt"), dealt(pool, POOL_TILE, "pt")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q, p = q.withColumn("pt", every(p_tiles)), p.withColumn("qt", every(q_tiles))
+    kind = lambda df: df.schema["id"].dataType.simpleString()
+    keys = ("dim", "qt", "pt")
+    best = q.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInPandas(_tile_topk(k), f"s1 {kind(q)}, cand {kind(p)}, score double")
+    return ranked(best, "s1", k, "cand")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchloom.functions import rules, text
-from matchloom.operators import candidates, eda, models, normalise, reports, selection
+from matchloom.operators import blocking, candidates, eda, models, normalise, reports, selection
 from matchloom.sources import files, lists
 
 
@@ -124,3 +124,25 @@ def test_reports(spark):
     assert {tuple(r) for r in reports.group_recall(scored, truth, records).collect()} == {("us", "all", 4, 3), ("us", "stateless", 2, 1), ("us", "moved", 1, 1), ("us", "third", 1, 1)}
     methods = spark.createDataFrame([("m", "S1-1", "S2-1"), ("n", "S1-1", "S3-2"), ("n", "S1-2", "S2-9")], "method string, s1 string, cand string")
     assert {tuple(r) for r in reports.stress_methods(methods, truth, records).collect()} == {("m", "equal", 2, 1), ("m", "word", 1, 0), ("m", "none", 1, 0), ("n", "equal", 2, 1), ("n", "word", 1, 1), ("n", "none", 1, 0)}
+
+
+def test_dense_topk_equals_brute_force_over_tiles_ties_and_faulty_vectors(spark, monkeypatch):
+    monkeypatch.setattr(blocking, "QUERY_TILE", 7)
+    monkeypatch.setattr(blocking, "POOL_TILE", 25)
+    rows = [(i, [float((i * 7 + j * j) % 5 - 2) for j in range(4)]) for i in range(120)]  # many equal directions
+    rows += [(200, [1.0, 2.0]), (201, [2.0, 4.0]), (202, [-1.0, 1.0]), (300, None), (301, []), (302, [0.0] * 4), (303, [1.0, None, 0.0, 0.0]), (304, [float("nan"), 1.0, 0.0, 0.0]), (None, [1.0] * 4)]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    got = {(r["s1"], r["rank"]): (r["cand"], r["score"]) for r in blocking.dense_topk(df.where("id % 5 = 0 OR id IS NULL"), df, 6).collect()}
+    good = {i: v for i, v in rows if i is not None and v and all(x is not None and x == x for x in v) and any(v)}
+
+    def cosine(a, b):
+        return round(sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5), 6)
+
+    want = {}
+    for s in (i for i in good if i % 5 == 0):
+        near = sorted((-cosine(good[s], good[c]), c) for c in good if c != s and len(good[c]) == len(good[s]))[:6]
+        want |= {(s, r): (c, -x) for r, (x, c) in enumerate(near, 1)}
+    assert got.keys() == want.keys()
+    assert all(got[key][0] == c and abs(got[key][1] - x) < 1.5e-6 for key, (c, x) in want.items())
+    assert blocking.dense_topk(df.where("id < 0"), df, 6).count() == 0
+    assert blocking.dense_topk(df, df.where("id < 0"), 6).count() == 0
