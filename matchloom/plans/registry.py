@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.plans import library, matching, relational, reports, scoring  # noqa: F401  (reports adds to relational)
+from matchloom.plans import library, matching, relational, reports, scoring, whole  # noqa: F401  (reports adds to relational)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**relational.queries(), **matching.QUERIES, **scoring.QUERIES, **library.QUERIES}
+    return {**relational.queries(), **matching.QUERIES, **scoring.QUERIES, **library.QUERIES, **whole.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
