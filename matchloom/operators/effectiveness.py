@@ -39,8 +39,7 @@ def hardest(queries: DataFrame, pool: DataFrame, truth: DataFrame, depth: int =
     """
     open_bucket = lambda df: df.withColumn("bucket", F.lit("all"))
     both = queries.select("id", "country", "text", F.lit(True).alias("q")).unionByName(pool.select("id", "country", "text", F.lit(False).alias("q")))
-    posted = blocking.index(open_bucket(both.drop("q")), max_df=max_df)
-    hits = blocking.forward(posted.join(queries.select("id"), "id", "left_semi"), posted.join(pool.select("id"), "id", "left_semi"), depth)
+    hits = blocking.search_forward(open_bucket(both), F.col("q"), ~F.col("q"), depth, max_df=max_df)
     names = lambda df, on, c: df.select(F.col("id").alias(on), F.col("text").alias(c))
     wrong = hits.select("s1", "cand").join(truth, ["s1", "cand"], "left_anti")
     rows = wrong.join(queries.select(F.col("id").alias("s1"), "country", F.col("text").alias("a")), "s1").join(names(pool, "cand", "b"), "cand")

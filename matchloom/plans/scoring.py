@@ -99,11 +99,8 @@ def config_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The search for one query in four: the same rows as in a whole search."""
-    r = _records(spark, sf_dir).select(F.col("entity_id").alias("id"), "country", F.coalesce("state", F.lit(matching.blocking.NONE)).alias("bucket"), F.col("core_name").alias("text"))
-    posted = matching.blocking.index(r, max_df=0.2)
-    s1 = F.col("id").startswith("S1-")
-    mine = posted.where(s1 & (selection.half("id") == 0))
-    return matching.blocking.forward(mine, posted.where(~s1), 5)
+    s1, pool = matching._sides()
+    return matching.blocking.search_forward(matching._texts(spark, sf_dir), s1 & (selection.half("id") == 0), pool, 5, max_df=0.2)
 
 
 # Scores

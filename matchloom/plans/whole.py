@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.operators import blocking, selection
+from matchloom.plans import matching
 from matchloom.session import table
 from matchloom.sources import lists
 
@@ -32,11 +33,11 @@ def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def name_search_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocking.forward(*_sides(blocking.index(_names(spark, sf_dir), max_df=0.2)), 5)
+    return blocking.search_forward(_names(spark, sf_dir), *matching._sides(), 5, max_df=0.2)
 
 
 def reverse_search_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocking.reverse(*_sides(blocking.index(_names(spark, sf_dir), max_df=0.2)), 3)
+    return blocking.search_reverse(_names(spark, sf_dir), *matching._sides(), 3, max_df=0.2)
 
 
 def rare_token_search_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
