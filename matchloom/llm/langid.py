@@ -31,8 +31,6 @@ from matchloom.llm.words import as_bytes, slices
 ORDER = 4
 #: Labelled documents that a language's tree is built on, at most (about: they are drawn by hash).
 TRAIN_DOCS = 1500
-#: Runs of the trees' deepest level that the driver takes, over all languages: where the drawn documents have more, the order is one less.
-MAX_RUNS = 8_000_000
 #: Languages of a model at most; their sizes are broadcast, so texts stay where they are.
 MAX_LANGUAGES = 10_000
 #: Bytes that the flat trees may have in all when they are sent to the executors.
@@ -240,7 +238,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_c
     """A model of the languages of the labelled documents; None without any.
 
     Of each language about train_docs documents are drawn, by a hash of their ids, and read whole. The driver gets
-    one count for each language and run of order + 1 bytes in them, MAX_RUNS at most: beyond, the order is lowered.
+    one count for each language and run of order + 1 bytes in them. The order is what the caller says, however many these are.
     """
     labelled = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("body"), F.col(key_col).alias("key"))
     sizes = cut(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))  # one row a language
@@ -248,11 +246,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_c
         raise ValueError(f"{n} languages: a tree for each of more than {MAX_LANGUAGES} does not fit a model")
     share = F.least(F.lit(1.0), F.lit(float(train_docs)) / F.col("n"))
     drawn = labelled.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("key"), F.lit(1 << 40)) < F.lit(1 << 40) * share).select("lang", "body")
-    grams = cut(drawn.mapInArrow(_count(order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    while order > 0 and grams.count() > MAX_RUNS:
-        grams = cut(grams.groupBy("lang", F.col("gram").bitwiseAND((1 << 8 * order) - 1).alias("gram")).agg(F.sum("n").alias("n")))
-        order -= 1
-    found = grams.toArrow()
+    found = drawn.mapInArrow(_count(order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     langs = found.column("lang").to_numpy(zero_copy_only=False)
     counts = {}
     for lang in sorted(set(langs.tolist())):
