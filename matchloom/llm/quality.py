@@ -3,9 +3,8 @@
 The rule statistics of a document are shares and means of its text. A forest of random splits is grown on the statistics
 of documents that pass the base rules: each tree on rows of its own, about TREES * ROWS in all, drawn by a hash from the whole
 corpus. A document's mean path length in the forest gives its anomaly score. The score from which on a document
-is rejected is calibrated on a bounded sample of labelled documents (about LABELLED, drawn by a hash). One scan fetches
-both samples, a second one judges all documents in place: nothing but the samples' statistics leaves its partition.
-Copies of a document count once in both samples, so their number is bounded whatever repeats.
+is rejected is calibrated on all labelled documents. One scan fetches the trees' rows, a second one the scores of all
+documents, which are counted by score, and a third one judges all documents in place. Repeated rows count once in both.
 """
 
 from __future__ import annotations
@@ -17,14 +16,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from matchloom.llm.store import small_batches
+from matchloom.llm.store import cut, small_batches
 from matchloom.llm.words import SPACE, as_bytes, mix64, ngrams, per_text, slices, words
 
 #: Trees, and rows that each is grown on.
 TREES, ROWS = 200, 256
-#: Labelled rows that the threshold is calibrated on, about.
-LABELLED = 20_000
+#: Bands of scores, whose sums are put in order at once; those of a band are put in order for themselves.
+BANDS = 1 << 16
 #: Rejecting a good labelled row costs as much as keeping so many bad ones.
 KEEP_WEIGHT = 4.0
 #: Base rules: least words, and the largest share of words in repeated windows.
@@ -155,6 +155,22 @@ def calibrate(scores: np.ndarray, bad: np.ndarray, keep_weight: float = KEEP_WEI
     return float((s[k] + s[k + 1]) / 2 if k + 1 < len(s) else s[k])
 
 
+def threshold(labelled: DataFrame, keep_weight: float = KEEP_WEIGHT) -> float:
+    """calibrate() of any number of rows (anomaly, bad): gains are summed by score, bands of scores put in order at once and the scores of a band for themselves."""
+    gain = F.sum(F.when(F.col("bad"), 1.0).otherwise(-keep_weight)).alias("gain")
+    by_score = cut(labelled.groupBy("anomaly").agg(gain, F.max("bad").alias("bad")).withColumn("band", F.floor(F.col("anomaly") * BANDS)))
+    if by_score.where("bad").isEmpty():
+        return float("inf")
+    bands = by_score.groupBy("band").agg(F.sum("gain").alias("in_band"))  # BANDS + 1 rows at most
+    above = bands.select("band", (F.sum("in_band").over(Window.orderBy(F.desc("band"))) - F.col("in_band")).alias("above"))
+    total = F.col("above") + F.sum("gain").over(Window.partitionBy("band").orderBy(F.desc("anomaly")))
+    best = by_score.join(above, "band").select(total.alias("gain"), "anomaly").agg(F.max(F.struct("gain", "anomaly")).alias("b")).first()["b"]
+    if best["gain"] <= 0:
+        return float("inf")
+    below = by_score.where(F.col("anomaly") < best["anomaly"]).agg(F.max("anomaly")).first()[0]
+    return float(best["anomaly"] if below is None else (best["anomaly"] + below) / 2)
+
+
 def _passes(base: dict[str, np.ndarray]) -> np.ndarray:
     """Whether each text passes the base rules."""
     return (base["n_words"] >= MIN_WORDS) & (100 * base["n_repeat_words"] <= round(100 * MAX_REPEAT) * base["n_words"])
@@ -175,14 +191,28 @@ class Rules(NamedTuple):
 
 
 def _sampled(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (body, order, sampled, quality) to statistics of those that pass the base rules."""
+    """Rows (body, order) to statistics of those that pass the base rules."""
     for rb in it:
         for lo, hi in slices(rb.column(0)):
             part = rb.slice(lo, hi - lo)
             base, x = statistics(part.column(0))
-            passed = pa.array(_passes(base))
-            out = pa.RecordBatch.from_arrays([*[part.column(i) for i in (1, 2, 3)], *[pa.array(x[:, i]) for i in range(len(FEATURES))]], ["o", "sampled", "quality", *FEATURES])
-            yield out.filter(passed)
+            out = pa.RecordBatch.from_arrays([part.column(1), *[pa.array(x[:, i]) for i in range(len(FEATURES))]], ["o", *FEATURES])
+            yield out.filter(pa.array(_passes(base)))
+
+
+def _scored(forest: Forest):
+    """Rows (body, key, order) to (key, order, anomaly) of those that pass the base rules."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in it:
+            for lo, hi in slices(rb.column(0)):
+                part = rb.slice(lo, hi - lo)
+                base, x = statistics(part.column(0))
+                passed = _passes(base)
+                kept = part.filter(pa.array(passed))
+                yield pa.RecordBatch.from_arrays([kept.column(1), kept.column(2), pa.array(score(forest, x[passed]))], ["key", "o", "anomaly"])
+
+    return run
 
 
 def _share(n: int, limit: int) -> int:
@@ -194,23 +224,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Grow the forest and calibrate the threshold. labels has (id, quality), quality 0 for bad rows; null ids and qualities are ignored, and a document with several labels counts once for each that differs. The same tables give the same rules, in whatever order their rows come."""
     small_batches(docs.sparkSession)
     wide = 1 << 40
-    known = labels.select(F.col(id_col).alias("key"), F.col("quality").cast("int").alias("quality")).where("quality is not null and key is not null")
-    # Distinct rows of two numbers, about LABELLED of them: small enough to broadcast whatever the number of labels.
-    known = known.distinct()
-    known = known.where(F.pmod(F.xxhash64("key", "quality"), F.lit(wide)) < _share(known.count(), LABELLED))
+    known = labels.select(F.col(id_col).alias("key"), F.col("quality").cast("int").alias("quality")).where("quality is not null and key is not null").distinct()
     order = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
-    rows = docs.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").alias("body"), order.alias("o"))
-    sampled = F.pmod(F.col("o"), F.lit(wide)) < _share(docs.count(), TREES * ROWS)
-    rows = rows.join(F.broadcast(known), "key", "left").select("body", "o", sampled.alias("sampled"), "quality").where("sampled or quality is not null")
-    schema = "o long, sampled boolean, quality int, " + ", ".join(f"{c} float" for c in FEATURES)
-    got = rows.mapInArrow(_sampled, schema).dropDuplicates(["o", "quality"]).toPandas().sort_values(["o", "quality", *FEATURES], kind="stable")
-    some = got[got["sampled"]].drop_duplicates("o")[FEATURES].to_numpy(np.float32)
+    rows = docs.select(F.col(f"`{text_col}`").alias("body"), F.col(f"`{id_col}`").alias("key"), order.alias("o"))
+    sampled = rows.where(F.pmod(F.col("o"), F.lit(wide)) < _share(docs.count(), TREES * ROWS)).select("body", "o")
+    schema = "o long, " + ", ".join(f"{c} float" for c in FEATURES)
+    got = sampled.mapInArrow(_sampled, schema).dropDuplicates(["o"]).toPandas().sort_values(["o", *FEATURES], kind="stable")
+    some = got[FEATURES].to_numpy(np.float32)
     if len(some) < 2:
         return Rules(None, float("inf"))
-    forest, labelled = grow(some), got[got["quality"].notna()]
-    if not len(labelled):
-        return Rules(forest, float("inf"))
-    return Rules(forest, calibrate(score(forest, labelled[FEATURES].to_numpy(np.float32)), labelled["quality"].to_numpy() == 0))
+    forest = grow(some)
+    # Texts stay where they are: scores of all documents meet the labels.
+    kind = docs.schema[id_col].dataType.simpleString()
+    scored = rows.where("key is not null").mapInArrow(_scored(forest), f"key {kind}, o long, anomaly double")
+    return Rules(forest, threshold(scored.join(known, "key").dropDuplicates(["o", "quality"]).select("anomaly", (F.col("quality") == 0).alias("bad"))))
 
 
 def _assess(rules: Rules):
