@@ -160,24 +160,25 @@ def text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Reports
-def _names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    r = _records(spark, sf_dir).where("core_name <> ''").select(F.col("entity_id").alias("id"), "country", F.col("core_name").alias("text"))
-    return r.where(F.col("id").startswith("S1-")), r.where(~F.col("id").startswith("S1-"))
+def _names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Queries, pool and truth, written once as all are read several times."""
+    r = written(_records(spark, sf_dir).where("core_name <> ''").select(F.col("entity_id").alias("id"), "country", F.col("core_name").alias("text")), "records")
+    return r.where(F.col("id").startswith("S1-")), r.where(~F.col("id").startswith("S1-")), written(_truth(spark, sf_dir), "truth")
 
 
 def effectiveness_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AUC of both similarities of names: true pairs against the hardest others."""
-    rows = written(effectiveness.compare(*_names(spark, sf_dir), _truth(spark, sf_dir), max_df=0.2), "compared")
+    rows = written(effectiveness.compare(*_names(spark, sf_dir), max_df=0.2), "compared")
     one = lambda c: effectiveness.auc(rows, ["country"], c, "is_true").select("country", F.col("auc").alias(f"auc_{c}"))
     return one("tsr").join(one("jac3"), "country")
 
 
 def eda_similarity_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return effectiveness.summary(effectiveness.compare(*_names(spark, sf_dir), _truth(spark, sf_dir), max_df=0.2))
+    return effectiveness.summary(effectiveness.compare(*_names(spark, sf_dir), max_df=0.2))
 
 
 def eda_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return effectiveness.hardest(*_names(spark, sf_dir), _truth(spark, sf_dir), max_df=0.2)
+    return effectiveness.hardest(*_names(spark, sf_dir), max_df=0.2)
 
 
 def _alias_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -194,6 +195,42 @@ def test_hardest_and_auc(spark):
     assert got == pytest.approx(sum(won) / len(won))
 
 
+def names_of(n, seed):
+    draw = random.Random(seed)
+    return [" ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(2)) for _ in range(n)]
+
+
+def test_similarities_are_those_of_all_queries(spark):
+    """More queries of a country than were once drawn: each one has its true pair and its hardest other in the counts, shares and medians."""
+    n, names = 2300, names_of(2300, 4)
+    q = spark.createDataFrame([(f"S1-{i}", "US", x) for i, x in enumerate(names)], "id string, country string, text string")
+    true = [(f"S2-{i}", "US", x) for i, x in enumerate(names)]
+    # Even queries' hardest other has the words the other way round, odd ones' has one more letter in front of the first word.
+    other = [(f"S3-{i}", "US", f"x{x}" if i % 2 else " ".join(reversed(x.split()))) for i, x in enumerate(names)]
+    truth = spark.createDataFrame([(f"S1-{i}", f"S2-{i}") for i in range(n)], "s1 string, cand string")
+    got = effectiveness.compare(q, spark.createDataFrame(true + other, q.schema), truth, max_df=0.2).cache()
+    assert rows(got.where("not is_true"), "s1", "cand") == sorted((f"S1-{i}", f"S3-{i}") for i in range(n))
+    tsr = [100 * similarity.token_set(x, y[2]) for x, y in zip(names, other, strict=True)]
+    assert [x == 100 for x in tsr] == [i % 2 == 0 for i in range(n)]
+    by_kind = {r["is_true"]: r for r in effectiveness.summary(got).collect()}
+    assert {k: (r["pairs"], r["tsr_median"]) for k, r in by_kind.items()} == {True: (n, 100.0), False: (n, pytest.approx(statistics.median(tsr)))}
+    grams = lambda t: {t[i : i + 3] for i in range(len(t) - 2)}
+    jac = [100 * len(grams(x) & grams(y[2])) / len(grams(x) | grams(y[2])) for x, y in zip(names, other, strict=True)]
+    assert by_kind[False]["jac3_median"] == pytest.approx(statistics.median(jac))
+    assert by_kind[False]["jac3_below_70"] == pytest.approx(sum(x < 70 for x in jac) / n)
+
+
+def test_hardest_of_queries_with_many_true_ones(spark):
+    """True ones that fill the list of candidates do not leave a query without its hardest other."""
+    sizes = {f"S1-{i}": k for i, k in enumerate((0, 1, 8, 9, 24, 25, 40, 140))}
+    names = dict(zip(sizes, names_of(len(sizes), 6), strict=True))
+    q = spark.createDataFrame([(i, "US", x) for i, x in names.items()], "id string, country string, text string")
+    truth = [(i, f"S2-{i[3:]}-{j}") for i, k in sizes.items() for j in range(k)]
+    pool = [(c, "US", names[i]) for i, c in truth] + [(f"S3-{i[3:]}", "US", f"{x}y") for i, x in names.items()]
+    got = effectiveness.hardest(q, spark.createDataFrame(pool, q.schema), spark.createDataFrame(truth, "s1 string, cand string"), max_df=1.0)
+    assert rows(got, "s1", "cand") == sorted((i, f"S3-{i[3:]}") for i in names)
+
+
 def test_state_aliases_are_learned_and_checked(spark):
     pairs = [(f"p{i}", "India", f"{i} Main Road, {('Hyderabad', 'Warangal', 'Nizamabad')[i % 3]}, Telangana", f"{i} Main Road, {('Hyderabad', 'Warangal', 'Nizamabad')[i % 3]}, Telmgan") for i in range(60)]
     pairs += [(f"b{i}", "India", f"{i} Main Road, Mumbai, Maharashtra", f"{i} Main Road, Bombay, Maharashtra") for i in range(60)]
