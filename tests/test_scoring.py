@@ -231,6 +231,31 @@ def test_hardest_of_queries_with_many_true_ones(spark):
     assert rows(got, "s1", "cand") == sorted((i, f"S3-{i[3:]}") for i in names)
 
 
+def test_auc_query_counts_all_queries(spark, tmp_path):
+    """2,300 queries of a country: half of them have an equally similar other, so the true pair wins three times of four, exactly."""
+    names, docs = names_of(2300, 8), []
+    odd = names_of(2300, 9)
+    for i, (x, y) in enumerate(zip(names, odd, strict=True)):
+        other = y if i % 2 else " ".join(reversed(x.split()))
+        docs += [(3 * i, f"{x}\n{'a' * 80}"), (3 * i + 1, f"{x}\n{'a' * 80}"), (3 * i + 2, f"{other}\n{'b' * 80}")]
+    df = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["effectiveness_auc"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [("US", 0.75, 1.0)]
+
+
+def test_token_set_equals_its_three_ratios():
+    draw = random.Random(1)
+    words = ["a", "ab", "aba", "bab", "é", *names_of(4, 2)]
+    for _ in range(2000):
+        a, b = (" ".join(draw.choices(words, k=draw.randint(0, 6))) for _ in range(2))
+        x, y = set(a.split()), set(b.split())
+        both, left, right = (" ".join(sorted(z)) for z in (x & y, x - y, y - x))
+        one, two = f"{both} {left}".strip(), f"{both} {right}".strip()
+        want = 1.0 if both and not (left and right) else max(similarity.ratio(*z) if both or z == (one, two) else 0.0 for z in ((one, two), (both, one), (both, two)))
+        assert similarity.token_set(a, b) == want
+
+
 def test_state_aliases_are_learned_and_checked(spark):
     pairs = [(f"p{i}", "India", f"{i} Main Road, {('Hyderabad', 'Warangal', 'Nizamabad')[i % 3]}, Telangana", f"{i} Main Road, {('Hyderabad', 'Warangal', 'Nizamabad')[i % 3]}, Telmgan") for i in range(60)]
     pairs += [(f"b{i}", "India", f"{i} Main Road, Mumbai, Maharashtra", f"{i} Main Road, Bombay, Maharashtra") for i in range(60)]
